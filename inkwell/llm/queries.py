@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import mixing, token_files, urls
+from inkwell.llm import mixing, secret_scan, token_files, urls
 from inkwell.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_report(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
@@ -22,6 +26,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_token_files": op5_token_files,
+    "op7_secret_scan": op7_secret_scan,
     "op9_url_filters": op9_url_filters,
     "op10_source_mix": op10_source_mix,
 }
