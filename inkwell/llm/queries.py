@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkwell.llm import mixing, secret_scan, token_files, urls
+from inkwell.llm import fingerprints, mixing, secret_scan, sentence_spans, token_files, urls
 from inkwell.llm.common import table
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_report(table(spark, sf_dir, "documents"))
 
@@ -16,6 +21,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentence_spans.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("span_sentences").alias("n_sentences"), F.col("span_removed").alias("n_removed"), F.col("span_cuts").alias("cuts"), "text")
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
@@ -25,8 +35,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_fingerprints": op3_fingerprints,
     "op5_token_files": op5_token_files,
     "op7_secret_scan": op7_secret_scan,
+    "op8_sentence_spans": op8_sentence_spans,
     "op9_url_filters": op9_url_filters,
     "op10_source_mix": op10_source_mix,
 }
