@@ -5,14 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import fingerprints, mixing, secret_scan, sentence_spans, token_files, urls
+from inkwell.llm import decontamination, fingerprints, language_id, mixing, secret_scan, sentence_spans, token_files, urls
 from inkwell.llm.common import table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = language_id.label(docs.select("doc_id", "text"), language_id.fit(docs))
+    return labelled.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.report(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_report(table(spark, sf_dir, "documents"))
 
@@ -35,7 +45,9 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_fingerprints": op3_fingerprints,
+    "op4_decontamination": op4_decontamination,
     "op5_token_files": op5_token_files,
     "op7_secret_scan": op7_secret_scan,
     "op8_sentence_spans": op8_sentence_spans,
