@@ -164,3 +164,37 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarra
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+#: A side of a join is broadcast only if it was counted and has no more rows than this.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most `most` rows (df should be stored: it is counted), else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Connected components of edges between longs: node, root (the least node reachable), by alternating stars.
+
+    Each round hangs every neighbour of a node on the node's least neighbour, first the larger ones,
+    then the smaller ones; the rounds grow with the logarithm of the longest path. Minima are merged
+    before the shuffle, and hot nodes meet only joins that Spark can split. Each round is written to
+    the shared folder, so an executor that goes takes nothing with it.
+    """
+    now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    before = None
+    while True:
+        both = now.union(now.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        large = both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(large.where("u <> v").distinct(), "large-star")
+        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+        small = large.join(least, F.col("u") == F.col("k"))
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
+        now = stored(small.where("u <> v").distinct(), "small-star")
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
+        if mark == before:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = mark

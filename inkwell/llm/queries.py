@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import decontamination, fingerprints, language_id, mixing, secret_scan, sentence_spans, token_files, urls
+from inkwell.llm import decontamination, fingerprints, jaccard_join, language_id, mixing, secret_scan, sentence_spans, token_files, urls
 from inkwell.llm.common import table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labelled = language_id.label(docs.select("doc_id", "text"), language_id.fit(docs))
@@ -45,6 +49,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_language_id": op2_language_id,
     "op3_fingerprints": op3_fingerprints,
     "op4_decontamination": op4_decontamination,
