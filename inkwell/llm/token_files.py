@@ -13,7 +13,6 @@ gives files without rows.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 
 import numpy as np
@@ -26,10 +25,9 @@ from inkwell.llm.common import fresh_path, partitions
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that a worker keeps the ids of; a full cache starts anew, which changes no result.
-CACHE_WORDS = 400_000
-# A space next to other white space, or at an edge: the tokenizer's own rules then decide the cut.
-_ODD_SPACE = re.compile(r"\s |  | \s|\A | \Z")
-
+CACHE_WORDS = 800_000
+#: Entry of a word with white space at its edge: the tokenizer's own rules then decide the cut.
+ODD = -1
 _state: dict = {}
 
 
@@ -43,7 +41,9 @@ class Encoder:
     """Whole-text encoding through the tokenizers library, with the ids of words kept.
 
     The byte-level pre-tokenizer always cuts before a single space between two other characters, so
-    the ids of a text are those of its space-led words in a row. Unseen words are encoded together.
+    the ids of a text are those of its space-led words in a row. Unseen words are encoded together,
+    as one text, whose ids are dealt to the words by the bytes that each id stands for. A text with
+    a space next to other white space, or at an edge, is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -52,6 +52,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        size = self.tokenizer.get_vocab_size()
+        # one character of a byte-level token stands for one byte
+        self.bytes = np.array([len(self.tokenizer.id_to_token(i)) for i in range(size)], np.int64)
         self.reset()
 
     def reset(self) -> None:
@@ -59,48 +62,72 @@ class Encoder:
 
         class Index(dict):
             def __missing__(self, word: str) -> int:
-                self[word] = k = len(self)
+                bare = word[1:] if word[:1] == " " else word
+                if not bare or bare[0].isspace() or bare[-1].isspace():
+                    return ODD
+                self[word] = k = len(self) + 1
                 new.append(word)
                 return k
 
         self.index = Index()
-        self.flat = np.zeros(0, np.int32)
-        self.ends = np.zeros(1, np.int64)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        self.flat = np.array([END_ID], np.int32)  # entry 0 is the end of a document
+        self.ends = np.array([0, 1], np.int64)
+
+    def _add(self, words: list[str]) -> None:
+        """Append the ids of new words; one that starts with a space here has none before it in its text."""
+        led = np.array([w[0] != " " for w in words])
+        ids: list = [None] * len(words)
+        bare = np.flatnonzero(~led)
+        for i, e in zip(bare.tolist(), self.tokenizer.encode_batch_fast([words[i][1:] for i in bare], add_special_tokens=False)):
+            ids[i] = np.array(e.ids, np.int32)
+        at = np.flatnonzero(led)
+        for lo in range(0, len(at), 4096):
+            part = at[lo : lo + 4096]
+            mine = [words[i] for i in part]
+            got = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(mine)], add_special_tokens=False)[0].ids, np.int32)
+            until = np.cumsum(self.bytes[got])
+            wide = np.cumsum(np.fromiter((len(w) if w.isascii() else len(w.encode()) for w in mine), np.int64, len(mine)) + 1)
+            cut = np.searchsorted(until, wide, "left") + 1
+            assert np.array_equal(until[cut - 1], wide), "a token crosses a word's edge"
+            for i, a, b in zip(part.tolist(), [0, *cut[:-1].tolist()], cut.tolist()):
+                ids[i] = got[a:b]
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.flat = np.concatenate([self.flat, *ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lens)])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each with the end id, and where each text ends."""
         if len(self.index) > CACHE_WORDS:
             self.reset()
-        look, found, whole = self.index.__getitem__, [], []
+        words: list[str] = []
+        count = np.empty(len(texts), np.int64)
         for i, text in enumerate(texts):
-            if _ODD_SPACE.search(text):
-                found.append(None)
-                whole.append(i)
-            else:
-                first, _, rest = text.partition(" ")
-                ids = [look(" " + first)] if first else []  # words have no space, so this key is a word not led by one
-                if rest:
-                    ids.extend(map(look, rest.split(" ")))
-                found.append(np.array(ids, np.int64))
+            pieces = text.split(" ")
+            if text:
+                pieces[0] = " " + pieces[0]  # no other word has a space, so the key is apart
+                words += pieces
+            count[i] = len(pieces) if text else 0
+        entry = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         if self.new:
-            words = [w[1:] if w[0] == " " else " " + w for w in self.new]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            lens = np.fromiter(map(len, got), np.int64, len(got))
-            self.flat = np.concatenate([self.flat, np.fromiter((x for ids in got for x in ids), np.int32, int(lens.sum()))])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lens)])
+            self._add(self.new)
             self.new.clear()
-        out: list = [None] * len(texts)
-        for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
-            out[i] = np.array([*e.ids, END_ID], np.int32)
-        for i, k in enumerate(found):
-            if k is not None:
-                a, n = self.ends[k], self.ends[k + 1] - self.ends[k]
-                total = int(n.sum())
-                ids = np.empty(total + 1, np.int32)
-                shift = np.repeat(a - (np.cumsum(n) - n), n)
-                ids[:total] = self.flat[shift + np.arange(total)]
-                ids[total] = END_ID
-                out[i] = ids
-        return out
+        owner = np.repeat(np.arange(len(texts)), count)
+        odd = np.unique(owner[entry == ODD])
+        flat, begin, size = self.flat, self.ends[:-1], np.diff(self.ends)
+        if len(odd):
+            whole = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)]
+            n = np.fromiter(map(len, whole), np.int64, len(whole))
+            begin, size = np.concatenate([begin, len(flat) + np.cumsum(n) - n]), np.concatenate([size, n])
+            flat = np.concatenate([flat, *whole])
+            keep = ~np.isin(owner, odd)
+            entry, owner = np.concatenate([entry[keep], len(self.ends) - 1 + np.arange(len(odd))]), np.concatenate([owner[keep], odd])
+            by = np.argsort(owner, kind="stable")
+            entry, owner = entry[by], owner[by]
+            count = np.bincount(owner, minlength=len(texts))
+        entry = np.insert(entry, np.cumsum(count), 0)
+        n = size[entry]
+        ids = flat[np.repeat(begin[entry] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return ids, np.cumsum(n)[np.cumsum(count + 1) - 1]
 
 
 def encoder(path: str) -> Encoder:
@@ -125,15 +152,14 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> None:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 piece = batch.slice(lo, 512)
-                ids = enc.encode([t or "" for t in piece.column(1).to_pylist()])
-                n = np.fromiter(map(len, ids), np.int64, len(ids))
-                ends = np.cumsum(n)
-                flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+                ids, ends = enc.encode([t or "" for t in piece.column(1).to_pylist()])
+                n = np.diff(ends, prepend=0)
+                arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), part, np.int32)), pa.array(np.arange(row, row + len(ids))), piece.column(0).cast(pa.int64()), pa.array(n), pa.array(inside + ends - n), flat],
+                    [pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(row, row + len(n))), piece.column(0).cast(pa.int64()), pa.array(n), pa.array(inside + ends - n), arrays],
                     names=["part", "row", "doc_id", "n_tokens", "inside", "ids"],
                 )
-                row += len(ids)
+                row += len(n)
                 inside += int(ends[-1])
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first())
