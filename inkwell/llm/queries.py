@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import decontamination, fingerprints, jaccard_join, language_id, mixing, secret_scan, sentence_spans, token_files, urls
+from inkwell.llm import decontamination, fingerprints, jaccard_join, language_id, mixing, secret_scan, sentence_spans, suffix_dedup, token_files, urls
 from inkwell.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_report(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op4_decontamination": op4_decontamination,
     "op5_token_files": op5_token_files,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_sentence_spans": op8_sentence_spans,
     "op9_url_filters": op9_url_filters,
