@@ -70,7 +70,7 @@ class Items:
         for n, which in self.short.items():
             for i in which:
                 g, _ = gram_hashes(self.words[i], np.array([0, n]), n)
-                seeds.append(g + np.uint64(n))
+                seeds.append(g[:1] + np.uint64(n))
                 owner.append(np.array([i]))
                 place.append(np.array([0]))
         seeds, self.owner, self.place = (np.concatenate(x) for x in (seeds, owner, place))

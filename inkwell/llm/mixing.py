@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import partitions, stored, word_count
+from inkwell.llm.common import partitions, small_side, stored, word_count
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1)
     sized = sized.withColumn("w_seat", F.row_number().over(mine)) if not repeated.isEmpty() else sized.withColumn("w_seat", F.lit(1))
     joined = sized.join(
-        taken,
+        small_side(stored(taken, "mix-taken")),
         F.col("doc_id").eqNullSafe(F.col("t_doc")) & F.col("source").eqNullSafe(F.col("t_source")) & (F.col("w_size") == F.col("t_size")) & (F.col("w_seat") == F.col("t_seat")),
         "inner",
     )
