@@ -1,11 +1,31 @@
-"""The corpus pipeline: stages of the llm operators, each written and read again by the next."""
+"""The corpus pipeline: stages of the llm operators, each written and read again by the next.
+
+Language ID drops texts without a language; the Jaccard join keeps one document of each group of near
+copies (five words, 0.8); decontamination drops documents that hold a test item; mixing repeats or
+cuts sources to their targets; the last stage writes token files and reports what they hold.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkwell.llm import decontamination, jaccard_join, language_id, mixing, token_files
+from inkwell.llm.common import stored, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with a language; a missing label is filled with the predicted one."""
+    labelled = language_id.label(docs, language_id.fit(docs)).where(F.col("lang_pred") != language_id.UNKNOWN)
+    return labelled.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.dedup(docs, words=5, percent=80)
+
 
-from inkwell.llm import mixing, token_files
-from inkwell.llm.common import stored
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,13 +36,19 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return token_files.write_and_report(docs)
 
 
-STAGES = [("mix sources", mix_sources), ("token files", write_tokens)]
+STAGES = [
+    ("language ID", identify_language),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID / binary output", write_tokens),
+]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{i}")
     return STAGES[-1][1](spark, docs, sf_dir)
