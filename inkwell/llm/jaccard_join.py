@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import buffers, components, mix64, shingle_sets, slices, small_side, stored
+from inkwell.llm.common import buffers, components, mix64, partitions, shingle_sets, slices, small_side, stored
 
 LAST = (1 << 63) - 1
 #: Shingles and sets in one block of a group, about; larger groups are cut.
@@ -44,8 +44,8 @@ class Bands:
         self.percent = percent
         edges = [1]
         while edges[-1] <= most:
-            edges.append(max(edges[-1] + 1, -(-edges[-1] * 10000 // (percent * percent))))
-        edges.append(-(-edges[-1] * 10000 // (percent * percent)))
+            edges.append(max(edges[-1] + 1, -(-edges[-1] * 100 // percent)))
+        edges.append(-(-edges[-1] * 100 // percent))
         self.edges = np.array(edges, np.int64)
         top = self.edges[1:] - 1
         self.differ = (top + top * 100 // percent) * (100 - percent) // (100 + percent)
@@ -71,11 +71,13 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     mixed = mix64(flat)
     rows, out = [], []
     own = bands.of(n)
-    for step in (0, 1):  # as the smaller set of a pair, then as the larger one of a smaller band
+    for step in range(len(bands.edges)):  # as the smaller set of a pair, then as the larger one of a smaller band
         key = own - step
         use = (n > 0) & (key >= 0)
-        if step:
-            use &= -(-n * percent // 100) < bands.edges[np.maximum(own, 0)]
+        if step:  # sets of the band that are large enough to be linked with this one
+            use &= -(-n * percent // 100) < bands.edges[np.maximum(key, 0) + 1]
+            if not use.any():
+                break
         m = np.where(use, bands.blocks[np.maximum(key, 0)], 0)
         use &= m > 0
         if not use.any():
@@ -99,6 +101,17 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     return (np.concatenate(rows), np.concatenate(out)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def packed(s: np.ndarray) -> bytes:
+    """A set as six bytes a shingle (its hash's upper ones), which tell the shingles of a group apart."""
+    return (s >> _U(16)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view(">u8").ravel().astype(np.uint64)
+
+
 def linked(size_a, size_b, common, percent: int):
     return 100 * common >= percent * (size_a + size_b - common)
 
@@ -186,25 +199,42 @@ def links(docs: DataFrame, words: int = 4, percent: int = 85) -> tuple[DataFrame
         for batch in batches:
             for piece in slices(batch, "text"):
                 sets = shingle_sets(*buffers(piece.column(0)), words)
+                name, one = np.unique(class_of(sets), return_index=True)  # equal sets of a piece merge here
+                one = np.sort(one)
+                sets = [sets[i] for i in one]
                 at, sig = signatures(sets, percent)
-                name = class_of(sets)[at]
-                by = np.lexsort((name, sig))
-                sig, name = sig[by], name[by]
-                keep = np.ones(len(by), bool)
-                keep[1:] = (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(name[keep])], names=["sig", "class"])
+                by = np.argsort(at, kind="stable")  # rows of one class side by side shuffle in fewer bytes
+                yield pa.RecordBatch.from_arrays([pa.array(sig[by]), pa.array(class_of(sets)[at[by]])], names=["sig", "class"])
+
+    def grouped(batches):
+        """From entries in order: (least class of the list, class) of lists of several classes."""
+        held_sig = held = None
+        for batch in batches:
+            sig, name = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(sig):
+                continue
+            new = np.ones(len(sig), bool)
+            new[1:] = sig[1:] != sig[:-1]
+            new[0] = held_sig is None or sig[0] != held_sig
+            start = np.flatnonzero(new)
+            leader = np.repeat(name[start], np.diff(np.append(start, len(sig))))
+            if not new[0]:  # the list goes on from the batch before
+                leader = np.concatenate([np.full(len(sig) - len(leader), held), leader])
+            held_sig, held = sig[-1], leader[-1]
+            pairs = np.unique(np.stack([leader, name], 1)[leader != name], axis=0)
+            both = np.concatenate([pairs, np.repeat(np.unique(pairs[:, :1], axis=0), 2, axis=1)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["leader", "class"])
 
     entries = narrow.select("text").where("text is not null").mapInArrow(listed, "sig long, class long")
-    lists = entries.groupBy("sig").agg(F.min("class").alias("leader"), F.max("class").alias("top")).where("leader < top").select(F.col("sig").alias("l_sig"), "leader")
-    member = entries.join(lists, F.col("sig") == F.col("l_sig")).select("leader", "class").distinct()
-    member = stored(member, "jaccard-groups")
+    entries = entries.repartition(partitions(docs.sparkSession), "sig").sortWithinPartitions("sig", "class")
+    member = stored(entries.mapInArrow(grouped, "leader long, class long").distinct(), "jaccard-groups")
     wanted = stored(member.select("class").distinct().join(classes.withColumnRenamed("class", "c"), F.col("class") == F.col("c")).select("class", "copies", "n", F.col("low").alias("w_doc")), "jaccard-wanted")
 
     def set_rows(batches):
         for batch in batches:
             for piece in slices(batch, "text"):
                 sets = shingle_sets(*buffers(piece.column(0)), words)
-                yield pa.RecordBatch.from_arrays([pa.array(class_of(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["s_class", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(class_of(sets)), pa.array([packed(s) for s in sets], pa.binary())], names=["s_class", "shingles"])
 
     # the text of one document of each class that is in a group; only those are hashed again
     texts = narrow.join(small_side(wanted.select("w_doc").distinct()), F.col("doc") == F.col("w_doc"), "left_semi").select("text")
@@ -217,15 +247,18 @@ def links(docs: DataFrame, words: int = 4, percent: int = 85) -> tuple[DataFrame
     placed = member.join(size, F.col("leader") == F.col("g_leader")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("cuts")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     leaders = member.groupBy(F.col("class").alias("q_class")).agg(F.sort_array(F.collect_list("leader")).alias("leaders"))
-    placed = placed.withColumn("p", F.explode(pair)).select("leader", "class", "block", F.col("p.i").alias("i"), F.col("p.j").alias("j"))
-    carried = wanted.join(leaders, F.col("class") == F.col("q_class")).join(sets, F.col("class") == F.col("s_class")).select(F.col("class").alias("c"), "copies", "leaders", "shingles")
-    placed = placed.join(carried, F.col("class") == F.col("c")).drop("c")
+    # each class carries the list of its places, so that its set is sent to them and nowhere else
+    placed = placed.select("class", F.transform(pair, lambda p: F.struct("leader", "block", p["i"].alias("i"), p["j"].alias("j"))).alias("to"))
+    placed = placed.groupBy(F.col("class").alias("t_class")).agg(F.flatten(F.collect_list("to")).alias("to"))
+    carried = stored(wanted.join(leaders, F.col("class") == F.col("q_class")).join(placed, F.col("class") == F.col("t_class")).select("class", "copies", "leaders", "to"), "jaccard-places")
+    sent = sets.join(small_side(carried), F.col("class") == F.col("s_class")).select("class", "copies", "leaders", "shingles", F.explode("to").alias("to"))
+    placed = sent.select("to.leader", "to.block", "to.i", "to.j", "class", "copies", "leaders", "shingles")
 
     def compared(table: pa.Table) -> pa.Table:
         name, block, copies = (table.column(k).to_numpy() for k in ("class", "block", "copies"))
         me = table.column("leader")[0].as_py()
         across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+        sets = [unpacked(x.as_py()) for x in table.column("shingles")]
         a, b = group_links(sets, block if across else np.zeros(len(sets), np.int64), percent)
         if across:  # pairs within a block are another task's
             keep = block[a] != block[b]
