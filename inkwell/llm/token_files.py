@@ -20,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import fresh_path, partitions
+from inkwell.llm.common import buffers, fresh_path, mix64, partitions, slices
 
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that a worker keeps the ids of; a full cache starts anew, which changes no result.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_000_000
 #: Entry of a word with white space at its edge: the tokenizer's own rules then decide the cut.
 ODD = -1
+MISSING = 0
+
 _state: dict = {}
 
 
@@ -37,13 +39,61 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class Table:
+    """A hash table from nonzero 64-bit keys to entries, probed for many keys at once."""
+
+    def __init__(self, size: int):
+        self.count = 0
+        self.mask = np.uint64((1 << int(size - 1).bit_length()) - 1)
+        self.keys = np.zeros(int(self.mask) + 1, np.uint64)
+        self.entries = np.zeros(int(self.mask) + 1, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, MISSING for none."""
+        out = np.full(len(keys), MISSING, np.int32)
+        slot = (keys & self.mask).astype(np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            there = self.keys[slot]
+            hit = there == keys[left]
+            out[left[hit]] = self.entries[slot[hit]]
+            on = ~hit & (there != 0)
+            left, slot = left[on], (slot[on] + 1) & int(self.mask)
+        return out
+
+    def put(self, keys: np.ndarray, entries: np.ndarray) -> None:
+        """Add distinct keys that are not there yet; the table doubles before it is more than half full."""
+        if 2 * (self.count + len(keys)) > len(self.keys):
+            used = self.keys != 0
+            keys, entries = np.concatenate([self.keys[used], keys]), np.concatenate([self.entries[used], entries])
+            self.__init__(4 * len(keys))
+        self.count += len(keys)
+        slot = (keys & self.mask).astype(np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            free = self.keys[slot] == 0
+            at, first = np.unique(slot[free], return_index=True)
+            won = np.flatnonzero(free)[first]
+            self.keys[at], self.entries[at] = keys[left[won]], entries[left[won]]
+            on = np.ones(len(left), bool)
+            on[won] = False
+            left, slot = left[on], (slot[on] + 1) & int(self.mask)
+
+
+_BYTE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(77))
+_BYTE[0x20] = 0
+_PLACE = mix64(np.arange(1 << 12, dtype=np.uint64)) | np.uint64(1)
+_FIRST = np.uint64(0x5BF03635DEADBEA7)
+
+
 class Encoder:
     """Whole-text encoding through the tokenizers library, with the ids of words kept.
 
     The byte-level pre-tokenizer always cuts before a single space between two other characters, so
-    the ids of a text are those of its space-led words in a row. Unseen words are encoded together,
-    as one text, whose ids are dealt to the words by the bytes that each id stands for. A text with
-    a space next to other white space, or at an edge, is encoded as a whole.
+    the ids of a text are those of its space-led words in a row. Words are known by a 64-bit hash of
+    their bytes. Unseen words are encoded together, as one text, whose ids are dealt to the words by
+    the bytes that each id stands for. A text with a space next to other white space, or at an edge,
+    is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -52,33 +102,20 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        size = self.tokenizer.get_vocab_size()
         # one character of a byte-level token stands for one byte
-        self.bytes = np.array([len(self.tokenizer.id_to_token(i)) for i in range(size)], np.int64)
+        self.bytes = np.array([len(self.tokenizer.id_to_token(i)) for i in range(self.tokenizer.get_vocab_size())], np.int64)
         self.reset()
 
     def reset(self) -> None:
-        new = self.new = []
-
-        class Index(dict):
-            def __missing__(self, word: str) -> int:
-                bare = word[1:] if word[:1] == " " else word
-                if not bare or bare[0].isspace() or bare[-1].isspace():
-                    return ODD
-                self[word] = k = len(self) + 1
-                new.append(word)
-                return k
-
-        self.index = Index()
+        self.table = Table(2 * CACHE_WORDS)
         self.flat = np.array([END_ID], np.int32)  # entry 0 is the end of a document
         self.ends = np.array([0, 1], np.int64)
 
-    def _add(self, words: list[str]) -> None:
-        """Append the ids of new words; one that starts with a space here has none before it in its text."""
-        led = np.array([w[0] != " " for w in words])
+    def _add(self, words: list[str], led: np.ndarray) -> None:
+        """Append the ids of new words, those that are led by a space with it."""
         ids: list = [None] * len(words)
         bare = np.flatnonzero(~led)
-        for i, e in zip(bare.tolist(), self.tokenizer.encode_batch_fast([words[i][1:] for i in bare], add_special_tokens=False)):
+        for i, e in zip(bare.tolist(), self.tokenizer.encode_batch_fast([words[i] for i in bare], add_special_tokens=False)):
             ids[i] = np.array(e.ids, np.int32)
         at = np.flatnonzero(led)
         for lo in range(0, len(at), 4096):
@@ -95,38 +132,69 @@ class Encoder:
         self.flat = np.concatenate([self.flat, *ids])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lens)])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, each with the end id, and where each text ends."""
-        if len(self.index) > CACHE_WORDS:
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (UTF-8 bytes with offsets) in a row, each with the end id, and where each text ends."""
+        if len(self.ends) > CACHE_WORDS:
             self.reset()
-        words: list[str] = []
-        count = np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            pieces = text.split(" ")
-            if text:
-                pieces[0] = " " + pieces[0]  # no other word has a space, so the key is apart
-                words += pieces
-            count[i] = len(pieces) if text else 0
-        entry = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        if self.new:
-            self._add(self.new)
-            self.new.clear()
-        owner = np.repeat(np.arange(len(texts)), count)
-        odd = np.unique(owner[entry == ODD])
-        flat, begin, size = self.flat, self.ends[:-1], np.diff(self.ends)
-        if len(odd):
-            whole = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)]
+        m = len(offsets) - 1
+        filled = offsets[1:] > offsets[:-1]
+        # words lie between single spaces; a text without any is one word
+        space = np.flatnonzero(raw == 0x20)
+        begin = np.sort(np.concatenate([offsets[:-1][filled], space + 1]))
+        begin = begin[: np.searchsorted(begin, len(raw))] if not len(space) or space[-1] + 1 == len(raw) else begin
+        owner = np.searchsorted(offsets, begin, "right") - 1
+        led = begin > offsets[owner]
+        odd = np.zeros(m, bool)
+        # a space at the very end of a text starts a word that has no byte: such texts are odd anyway
+        if len(space):
+            odd[np.searchsorted(offsets, space, "right") - 1] |= np.isin(space + 1, offsets)
+        first_word = np.unique(begin, return_index=True)[1]
+        begin, owner, led = begin[first_word], owner[first_word], led[first_word]
+        size = np.diff(np.append(begin, len(raw))) - 1
+        last_of_text = np.append(owner[1:] != owner[:-1], True) if len(owner) else np.zeros(0, bool)
+        size[last_of_text] += 1  # no space behind the last word of a text
+        end = begin + size
+        if len(begin):
+            place = np.arange(len(raw)) - np.repeat(begin, np.diff(np.append(begin, len(raw))))
+            longest = int(place.max()) + 1
+            weight = _PLACE if longest <= len(_PLACE) else mix64(np.arange(longest, dtype=np.uint64)) | np.uint64(1)
+            with np.errstate(over="ignore"):
+                key = mix64(np.add.reduceat(_BYTE[raw] * weight[place], begin) + size.astype(np.uint64)) ^ np.where(led, np.uint64(0), _FIRST)
+            key[key == 0] = 1
+            entry = self.table.find(key)
+            new = np.flatnonzero(entry == MISSING)
+            if len(new):
+                fresh, at = np.unique(key[new], return_index=True)
+                at = new[at]
+                data = raw.tobytes()
+                words = [data[a:b].decode("utf-8", "replace") for a, b in zip(begin[at].tolist(), end[at].tolist())]
+                plain = np.array([bool(w) and not w[0].isspace() and not w[-1].isspace() for w in words])
+                numbers = np.full(len(fresh), ODD, np.int32)
+                numbers[plain] = len(self.ends) - 1 + np.arange(plain.sum())
+                if plain.any():
+                    self._add([w for w, p in zip(words, plain.tolist()) if p], led[at][plain])
+                self.table.put(fresh, numbers)
+                entry[new] = self.table.find(key[new])
+            odd[owner[entry == ODD]] = True
+        else:
+            entry = np.zeros(0, np.int32)
+        flat, start, width = self.flat, self.ends[:-1], np.diff(self.ends)
+        which = np.flatnonzero(odd)
+        if len(which):
+            data = raw.tobytes()
+            texts = [data[offsets[i] : offsets[i + 1]].decode("utf-8", "replace") for i in which]
+            whole = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             n = np.fromiter(map(len, whole), np.int64, len(whole))
-            begin, size = np.concatenate([begin, len(flat) + np.cumsum(n) - n]), np.concatenate([size, n])
+            start, width = np.concatenate([start, len(flat) + np.cumsum(n) - n]), np.concatenate([width, n])
             flat = np.concatenate([flat, *whole])
-            keep = ~np.isin(owner, odd)
-            entry, owner = np.concatenate([entry[keep], len(self.ends) - 1 + np.arange(len(odd))]), np.concatenate([owner[keep], odd])
+            keep = ~odd[owner]
+            entry, owner = np.concatenate([entry[keep], len(self.ends) - 1 + np.arange(len(which))]), np.concatenate([owner[keep], which])
             by = np.argsort(owner, kind="stable")
             entry, owner = entry[by], owner[by]
-            count = np.bincount(owner, minlength=len(texts))
+        count = np.bincount(owner, minlength=m)
         entry = np.insert(entry, np.cumsum(count), 0)
-        n = size[entry]
-        ids = flat[np.repeat(begin[entry] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        n = width[entry]
+        ids = flat[np.repeat(start[entry] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         return ids, np.cumsum(n)[np.cumsum(count + 1) - 1]
 
 
@@ -150,9 +218,8 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> None:
         part, row, inside = TaskContext.get().partitionId(), 0, 0
         enc = encoder(tokens)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                piece = batch.slice(lo, 512)
-                ids, ends = enc.encode([t or "" for t in piece.column(1).to_pylist()])
+            for piece in slices(batch, "text", 2_000_000):
+                ids, ends = enc.encode(*buffers(piece.column(1)))
                 n = np.diff(ends, prepend=0)
                 arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(

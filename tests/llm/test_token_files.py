@@ -3,11 +3,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.orc as orc
 from tokenizers import Tokenizer
 
 from inkwell.llm import token_files
-from inkwell.llm.common import fresh_path
+from inkwell.llm.common import buffers, fresh_path
 
 
 def plain(texts):
@@ -27,7 +28,7 @@ def test_encoder_equals_the_library(monkeypatch):
     enc, data = token_files.Encoder(token_files.vocabulary_path()), texts()
     got = []
     for lo in range(0, len(data), 100):
-        ids, ends = enc.encode(data[lo : lo + 100])
+        ids, ends = enc.encode(*buffers(pa.array(data[lo : lo + 100])))
         got += [x.tolist() for x in np.split(ids, ends[:-1])]
     assert got == plain(data)
 
