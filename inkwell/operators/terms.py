@@ -106,9 +106,16 @@ def batches(pages: DataFrame, size: int = 10) -> DataFrame:
 
 
 def state_before(seen: DataFrame, all_batches: DataFrame) -> DataFrame:
-    """What each batch's prompt may use: (batch, term, n) over all earlier batches. seen has a column batch."""
-    each = seen.groupBy("batch", "term").agg(F.count("*").alias("n")).select(F.col("batch").alias("b"), "term", F.col("n").alias("m"))
-    return all_batches.select("batch").join(each, F.col("b") < F.col("batch")).groupBy("batch", "term").agg(F.sum("m").alias("n"))
+    """What each batch's prompt may use: (batch, term, n) over all earlier batches, numbered from 0. seen has a column batch.
+
+    A term's count stands from one batch that holds it to the next, so each row of the result is made once, by running sums.
+    """
+    each = seen.groupBy("batch", "term").agg(F.count("*").alias("m"))
+    by_term = Window.partitionBy("term").orderBy("batch")
+    held = each.withColumn("n", F.sum("m").over(by_term)).withColumn("next", F.lead("batch").over(by_term))
+    last = all_batches.agg(F.max("batch").alias("last"))  # one row
+    until = held.crossJoin(F.broadcast(last)).withColumn("until", F.coalesce("next", "last")).where("batch < until")
+    return until.select(F.explode(F.sequence(F.col("batch") + 1, F.col("until"))).alias("batch"), "term", "n")
 
 
 def session_stats(seen: DataFrame, pages: DataFrame, story: DataFrame, known: int = 0, names: int = 0) -> DataFrame:
