@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -73,20 +74,43 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD_CLASS), F.lit(0))), F.lit(0)).cast("long")
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Have texts reach Python in small Arrow batches, so that a worker holds few of them at a time."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+_allocator: dict = {}
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if not _allocator:
+        try:
+            _allocator["trim"] = ctypes.CDLL("libc.so.6").malloc_trim
+        except (OSError, AttributeError):  # another C library: its allocator decides
+            _allocator["trim"] = lambda _: 0
+    _allocator["trim"](0)
+
+
 def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets (first is 0) of a string array; null counts as empty."""
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()
     if array.null_count:
         array = array.fill_null("")
-    array = array.cast(pa.large_string())
     _, offs, data = array.buffers()
-    offsets = np.frombuffer(offs, np.int64)[array.offset : array.offset + len(array) + 1]
+    kind = np.int64 if pa.types.is_large_string(array.type) else np.int32
+    if offs is None or not len(array):
+        return np.zeros(0, np.uint8), np.zeros(len(array) + 1, np.int64)
+    offsets = np.frombuffer(offs, kind)[array.offset : array.offset + len(array) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(data) else np.zeros(0, np.uint8)
     return raw, offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000):
     """Cut a batch so that no piece but a single long row holds more than `most` bytes of the column."""
     k = batch.schema.get_field_index(column)
     if batch.num_rows == 0:
@@ -97,6 +121,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, "right")) - 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
+    give_back()
 
 
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,7 +192,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarra
 
 
 #: A side of a join is broadcast only if it was counted and has no more rows than this.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

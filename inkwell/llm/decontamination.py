@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import buffers, gram_hashes, slices, word_count, word_hashes, word_spans
+from inkwell.llm.common import bounded_batches, buffers, gram_hashes, slices, word_count, word_hashes, word_spans
 
 SEED_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -156,6 +156,7 @@ def blocks(benchmark: DataFrame) -> list[Items]:
 
 def _rare(docs: DataFrame, block: Items) -> Items:
     """Leave each item its rarer seeds, by their frequency over all documents."""
+    bounded_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(block)
 
     def counted(batches):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import buffers, components, mix64, partitions, shingle_sets, slices, small_side, stored
+from inkwell.llm.common import bounded_batches, buffers, components, mix64, partitions, shingle_sets, slices, small_side, stored
 
 LAST = (1 << 63) - 1
 #: Shingles and sets in one block of a group, about; larger groups are cut.
@@ -183,6 +183,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
 def links(docs: DataFrame, words: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc, n, class), classes (class, copies, low doc) and what is linked: edges of a spanning forest
     of each group with link counts (a, b, null) and (a, null, documents linked to a)."""
+    bounded_batches(docs)
     narrow = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text", F.xxhash64("text").alias("mark"))
 
     def named(batches):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import slices
+from inkwell.llm.common import bounded_batches, slices
 
 SAMPLE = 2000
 BUCKETS = 1 << 15
@@ -53,11 +53,11 @@ _tables: dict = {}
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: is it a letter, and its lower case where that is one code point."""
     if not _tables:
-        points = [chr(i) for i in range(sys.maxunicode + 1)]
-        letter = np.fromiter((unicodedata.category(c)[0] == "L" for c in points), bool, len(points))
-        lower = np.arange(len(points), dtype=np.uint32)
+        size = sys.maxunicode + 1
+        letter = np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(size)), bool, size)
+        lower = np.arange(size, dtype=np.uint32)
         for i in np.flatnonzero(letter):
-            low = points[i].lower()
+            low = chr(i).lower()
             if len(low) == 1:
                 lower[i] = ord(low)
         _tables["letter"], _tables["lower"] = letter, lower
@@ -186,6 +186,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the labelled rows that are not held out (doc_id, text, lang)."""
+    bounded_batches(docs)
     train = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = train.groupBy("lang").count()
     rate = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count"))
@@ -195,7 +196,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     def count(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for piece in slices(batch, "text", 1_000_000):
+            for piece in slices(batch, "text"):
                 words = Words(piece.column(1).to_pylist())
                 lang = np.array(piece.column(0).to_pylist(), object)
                 by_letter = np.repeat(words.row, words.letters)
@@ -217,6 +218,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def label(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     """docs with lang_pred, score and, if asked for, lang_spans (array of start, end, lang in code points)."""
+    bounded_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     k = docs.columns.index("text")
     from pyspark.sql import types as T
@@ -229,7 +231,7 @@ def label(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
 
     def labelled(batches):
         for batch in batches:
-            for piece in slices(batch, "text", 2_000_000):
+            for piece in slices(batch, "text"):
                 found = sent.value.label([t or "" for t in piece.column(k).to_pylist()])
                 more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
                 if spans:

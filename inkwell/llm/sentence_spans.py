@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.common import buffers, mix64, slices, word_hashes, word_spans
+from inkwell.llm.common import bounded_batches, buffers, mix64, slices, word_hashes, word_spans
 
 LEAST_WORDS = 20
 LEAST_SENTENCES = 2
@@ -79,6 +79,7 @@ class Cut:
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS, least_sentences: int = LEAST_SENTENCES) -> DataFrame:
     """docs with the text cleaned, and span_sentences, span_removed (sentences), span_cuts (start:end in bytes, comma-joined)."""
+    bounded_batches(docs)
     key = F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("s_doc")
     narrow = docs.select(key, F.col(text_column).alias("s_text"))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import buffers, fresh_path, mix64, partitions, slices
+from inkwell.llm.common import bounded_batches, buffers, fresh_path, mix64, partitions, slices
 
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
@@ -140,16 +140,16 @@ class Encoder:
         filled = offsets[1:] > offsets[:-1]
         # words lie between single spaces; a text without any is one word
         space = np.flatnonzero(raw == 0x20)
-        begin = np.sort(np.concatenate([offsets[:-1][filled], space + 1]))
-        begin = begin[: np.searchsorted(begin, len(raw))] if not len(space) or space[-1] + 1 == len(raw) else begin
-        owner = np.searchsorted(offsets, begin, "right") - 1
+        starts = np.zeros(len(raw) + 1, bool)
+        starts[offsets[:-1][filled]] = True
+        starts[space + 1] = True
+        begin = np.flatnonzero(starts[:-1])
+        owner = np.repeat(np.arange(m), np.diff(np.searchsorted(begin, offsets)))
         led = begin > offsets[owner]
         odd = np.zeros(m, bool)
-        # a space at the very end of a text starts a word that has no byte: such texts are odd anyway
-        if len(space):
-            odd[np.searchsorted(offsets, space, "right") - 1] |= np.isin(space + 1, offsets)
-        first_word = np.unique(begin, return_index=True)[1]
-        begin, owner, led = begin[first_word], owner[first_word], led[first_word]
+        # a space at the very end of a text is at an edge
+        closing = offsets[1:][filled] - 1
+        odd[np.flatnonzero(filled)[raw[closing] == 0x20]] = True
         size = np.diff(np.append(begin, len(raw))) - 1
         last_of_text = np.append(owner[1:] != owner[:-1], True) if len(owner) else np.zeros(0, bool)
         size[last_of_text] += 1  # no space behind the last word of a text
@@ -229,6 +229,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> None:
                 row += len(n)
                 inside += int(ends[-1])
 
+    bounded_batches(docs)
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     (
