@@ -216,17 +216,20 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(languages, table[:, :BUCKETS], table[:, BUCKETS:])
 
 
-def label(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
-    """docs with lang_pred, score and, if asked for, lang_spans (array of start, end, lang in code points)."""
+def label(docs: DataFrame, model: Model, spans: bool = False, prefix: str = "") -> DataFrame:
+    """docs with lang_pred, score and, if asked for, lang_spans (array of start, end, lang in code points).
+
+    A prefix keeps the new names apart from columns that docs has.
+    """
     bounded_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     k = docs.columns.index("text")
     from pyspark.sql import types as T
 
-    kinds = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    kinds = T.StructType([*docs.schema, T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType())])
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())])
     if spans:
-        kinds = T.StructType([*kinds, T.StructField("lang_spans", T.ArrayType(span))])
+        kinds = T.StructType([*kinds, T.StructField(f"{prefix}lang_spans", T.ArrayType(span))])
     arrow_span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def labelled(batches):

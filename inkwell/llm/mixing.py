@@ -88,19 +88,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     least half of its words are taken, so that each source stays within half a document of its target.
     """
     taken = plan(docs, weights, cap).where("taken > 0").select(
-        F.col("doc_id").alias("t_doc"), F.col("source").alias("t_source"), F.col("size").alias("t_size"),
-        F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int").alias("t_times"),
-    ).where("t_times > 0")
+        F.col("doc_id").alias("__mix_t_doc"), F.col("source").alias("__mix_t_source"), F.col("size").alias("__mix_t_size"),
+        F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int").alias("__mix_t_times"),
+    ).where("__mix_t_times > 0")
     # equal (doc_id, source, size) rows are interchangeable: they share one list of counts, by number
-    seat = Window.partitionBy("t_doc", "t_source", "t_size").orderBy(F.col("t_times").desc())
-    taken = taken.withColumn("t_seat", F.row_number().over(seat))
-    mine = Window.partitionBy("doc_id", "source", "w_size").orderBy(F.lit(1))
-    sized = docs.withColumn("w_size", word_count(F.col("text")))
+    seat = Window.partitionBy("__mix_t_doc", "__mix_t_source", "__mix_t_size").orderBy(F.col("__mix_t_times").desc())
+    taken = taken.withColumn("__mix_t_seat", F.row_number().over(seat))
+    mine = Window.partitionBy("doc_id", "source", "__mix_w_size").orderBy(F.lit(1))
+    sized = docs.withColumn("__mix_w_size", word_count(F.col("text")))
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1)
-    sized = sized.withColumn("w_seat", F.row_number().over(mine)) if not repeated.isEmpty() else sized.withColumn("w_seat", F.lit(1))
+    sized = sized.withColumn("__mix_w_seat", F.row_number().over(mine)) if not repeated.isEmpty() else sized.withColumn("__mix_w_seat", F.lit(1))
     joined = sized.join(
         small_side(stored(taken, "mix-taken")),
-        F.col("doc_id").eqNullSafe(F.col("t_doc")) & F.col("source").eqNullSafe(F.col("t_source")) & (F.col("w_size") == F.col("t_size")) & (F.col("w_seat") == F.col("t_seat")),
+        F.col("doc_id").eqNullSafe(F.col("__mix_t_doc")) & F.col("source").eqNullSafe(F.col("__mix_t_source")) & (F.col("__mix_w_size") == F.col("__mix_t_size")) & (F.col("__mix_w_seat") == F.col("__mix_t_seat")),
         "inner",
     )
-    return joined.withColumn("t_copy", F.explode(F.sequence(F.lit(1), F.col("t_times")))).select(*[docs[c] for c in docs.columns])
+    return joined.withColumn("__mix_t_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_t_times")))).select(*[docs[c] for c in docs.columns])

@@ -102,9 +102,9 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     repeated = each.groupBy("s_hash").agg(F.min("s_doc").alias("s_low"), F.max("s_doc").alias("s_high")).where("s_low < s_high")
     repeated = repeated.select(F.col("s_hash").alias("r_hash"), "s_low")
     gone = each.join(repeated, (F.col("s_hash") == F.col("r_hash")) & (F.col("s_doc") != F.col("s_low"))).select("s_doc", "s_hash")
-    gone = gone.groupBy(F.col("s_doc").alias("g_doc")).agg(F.collect_list("s_hash").alias("g_hashes"))
+    gone = gone.groupBy(F.col("s_doc").alias("__span_gone")).agg(F.collect_list("s_hash").alias("__span_hashes"))
     fields = [f.name for f in docs.schema]
-    joined = docs.withColumn("s_doc", key).join(gone, F.col("s_doc") == F.col("g_doc"), "left").drop("s_doc", "g_doc")
+    joined = docs.withColumn("__span_doc", key).join(gone, F.col("__span_doc") == F.col("__span_gone"), "left").drop("__span_doc", "__span_gone")
     schema = T.StructType([*docs.schema, T.StructField("span_sentences", T.LongType()), T.StructField("span_removed", T.LongType()), T.StructField("span_cuts", T.StringType())])
     k = fields.index(text_column)
 
@@ -146,4 +146,4 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 columns[k] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(cut.first).astype(np.int64)), pa.array(removed, pa.int64()), pa.array(cuts, pa.string())], names=schema.names)
 
-    return joined.select(*[F.col(f) for f in fields], "g_hashes").mapInArrow(cleaned, schema)
+    return joined.select(*[F.col(f) for f in fields], "__span_hashes").mapInArrow(cleaned, schema)

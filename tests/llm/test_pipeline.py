@@ -24,7 +24,7 @@ def folder(spark, tmp_path_factory):
     docs += [(200 + i, docs[i][1], docs[i][2], "b", 0) for i in range(30)]
     docs += [(300 + i, text("en", 10) + " " + items[i % 5][1], "en", "c", 0) for i in range(20)]
     docs += [(400, None, None, "a", 0), (401, "123 $$", "en", "a", 0), (402, "thing with the river", None, None, 0)]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "doc_id AS score", "source AS key", "1 AS n", "'x' AS lang_pred", "doc_id AS class", "2 AS size", "3 AS part").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return str(path), docs, items
 
