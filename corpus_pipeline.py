@@ -16,8 +16,8 @@ from inkwell.llm.common import stored, table
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with a language; a missing label is filled with the predicted one."""
-    labelled = language_id.label(docs, language_id.fit(docs)).where(F.col("lang_pred") != language_id.UNKNOWN)
-    return labelled.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    labelled = language_id.label(docs, language_id.fit(docs), prefix="__").where(F.col("__lang_pred") != language_id.UNKNOWN)
+    return labelled.withColumn("lang", F.coalesce("lang", "__lang_pred")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
