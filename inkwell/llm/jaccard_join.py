@@ -252,7 +252,7 @@ def links(docs: DataFrame, words: int = 4, percent: int = 85) -> tuple[DataFrame
     placed = placed.select("class", F.transform(pair, lambda p: F.struct("leader", "block", p["i"].alias("i"), p["j"].alias("j"))).alias("to"))
     placed = placed.groupBy(F.col("class").alias("t_class")).agg(F.flatten(F.collect_list("to")).alias("to"))
     carried = stored(wanted.join(leaders, F.col("class") == F.col("q_class")).join(placed, F.col("class") == F.col("t_class")).select("class", "copies", "leaders", "to"), "jaccard-places")
-    sent = sets.join(small_side(carried), F.col("class") == F.col("s_class")).select("class", "copies", "leaders", "shingles", F.explode("to").alias("to"))
+    sent = sets.join(carried, F.col("class") == F.col("s_class")).select("class", "copies", "leaders", "shingles", F.explode("to").alias("to"))
     placed = sent.select("to.leader", "to.block", "to.i", "to.j", "class", "copies", "leaders", "shingles")
 
     def compared(table: pa.Table) -> pa.Table:
@@ -306,8 +306,8 @@ def dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     # of rows of the least doc_id one text is chosen, so that a component keeps one document
     chosen = found.where("doc = component and n_links > 0").groupBy(F.col("component").alias("c")).agg(F.min("mark").alias("kept"))
     gone = found.where("n_links > 0").join(chosen, F.col("component") == F.col("c"), "left").where("doc <> component or mark <> kept")
-    gone = stored(gone.select(F.col("doc").alias("g_doc"), F.col("mark").alias("g_mark")).distinct(), "jaccard-gone")
-    kept = docs.withColumn("j_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("j_mark", F.xxhash64("text"))
-    kept = kept.join(small_side(gone), (F.col("j_doc") == F.col("g_doc")) & (F.col("j_mark") == F.col("g_mark")), "left_anti").drop("j_doc", "j_mark")
+    gone = stored(gone.select(F.col("doc").alias("__jaccard_gone"), F.col("mark").alias("__jaccard_gone_mark")).distinct(), "jaccard-gone")
+    kept = docs.withColumn("__jaccard_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__jaccard_mark", F.xxhash64("text"))
+    kept = kept.join(small_side(gone), (F.col("__jaccard_doc") == F.col("__jaccard_gone")) & (F.col("__jaccard_mark") == F.col("__jaccard_gone_mark")), "left_anti").drop("__jaccard_doc", "__jaccard_mark")
     twice = found.where("n_links > 0").groupBy("doc", "mark").count().where("count > 1")
     return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
