@@ -8,9 +8,11 @@ doc_id. Only repeated places reach a suffix array:
    the window alone, so equal windows have equal anchors. Windows in a row with one anchor form a
    run (its bytes: the run's string). Runs are dealt by the hash of their anchor.
 3. Of equal runs, all but those of the least document are covered as a whole. The others are compared
-   only if their anchor stands in several documents with different strings: their bytes are fetched,
-   joined into blocks and sorted by a suffix array; neighbours that agree in `length` bytes are one
-   class, and the members of a class beyond its least document are covered.
+   only if their anchor stands in several documents with different strings, one of which agrees in
+   the bytes next to the anchor on one side (a short hash tells): their bytes are fetched and cut to the windows whose bytes before and behind the anchor another run shares. The strings
+   that are left, each once, are joined into blocks and sorted by a suffix array; neighbours that
+   agree in `length` bytes are one class, and the members of a class beyond its least document are
+   covered.
 
 The suffix array is built by linear grouping (see `suffix_order`). A block holds whole anchors and
 about BLOCK_BYTES bytes.
@@ -29,14 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import buffers, mix64, partitions, slices
+from inkwell.llm.common import bounded_batches, buffers, give_back, mix64, partitions, slices, small_side, stored
 from inkwell.llm.fingerprints import _BASE, _INVERSE, _power, _sliding_min
 
 LENGTH = 50
 LAST = (1 << 63) - 1
 BLOCK_BYTES = 60_000
+#: Ranges of anchors for each shuffle partition; a task holds the packed runs of one range.
+RANGES = 4
 #: Bytes of a text that are hashed at once; pieces overlap by the windows' length.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def suffix_order(text: list[int]) -> list[int]:
@@ -139,11 +143,16 @@ def suffix_order(text: list[int]) -> list[int]:
     return out
 
 
-def runs(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the windows of one text: anchor hash, string hash, first byte and byte after of each run."""
+def anchor_size(length: int) -> int:
+    return max(1, length * 2 // 5)
+
+
+def runs(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Of the windows of one text: anchor hash, string hash, first byte, byte after and anchor's place of each run,
+    and short hashes of the bytes just before and behind the anchor (0 where the run has too few)."""
     none = np.zeros(0, np.int64)
     found = []
-    k = max(1, length * 2 // 5)
+    k = anchor_size(length)
     width = length - k + 1
     for lo in range(0, max(len(raw) - length + 1, 0), PIECE):
         piece = raw[lo : lo + PIECE + length - 1]
@@ -158,8 +167,15 @@ def runs(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
             first = np.flatnonzero(np.diff(anchor, prepend=-1) != 0)
             last = np.append(first[1:], len(anchor)) - 1 + length
             whole = mix64((prefix[last] - prefix[first]) * _power(_INVERSE, n)[first] + (last - first).astype(np.uint64))
-        found.append((h[anchor[first]].view(np.int64), whole.view(np.int64), first + lo, last + lo))
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (none, none, none, none)
+            at, half = anchor[first], (length - k) // 2
+            inside = (at - half >= first, at + k + half <= last)
+            sides = []
+            for begin, ok in zip((at - half, at + k), inside):
+                a = np.where(ok, begin, 0)
+                side = mix64((prefix[a + half] - prefix[a]) * _power(_INVERSE, n)[a]) >> np.uint64(49) << np.uint64(1) | np.uint64(1)
+                sides.append(np.where(ok, side, 0).astype(np.uint16))
+        found.append((h[at].view(np.int64), whole.view(np.int64), first + lo, last + lo, at + lo, *sides))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (none,) * 7
 
 
 def block_spans(strings: list[bytes], doc: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int]]:
@@ -189,48 +205,66 @@ def block_spans(strings: list[bytes], doc: np.ndarray, length: int = LENGTH) ->
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc, mark, text and covered (array of start, end bytes) of each row of docs (doc_id, text)."""
+    bounded_batches(docs)
     n = partitions(docs.sparkSession)
-    # every join below meets the texts in this one exchange
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("mark", F.xxhash64("text")).repartition(n, "doc", "mark")
-    content = base.where(F.octet_length("text") >= length).select("doc", "mark", F.octet_length("text").alias("bytes"), F.crc32(F.col("text").cast("binary")).alias("crc"))
-    first = content.groupBy("mark", "bytes", "crc").agg(F.min("doc").alias("first"))
-    first = first.select(F.col("first").alias("f_doc"), F.col("mark").alias("f_mark"))
-    own = base.join(first, (F.col("doc") == F.col("f_doc")) & (F.col("mark") == F.col("f_mark")), "left_semi").select("doc", "mark", "text")
+    ranges = n * RANGES
+    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    # a later copy of a content goes as a whole
+    content = whole.select("doc", "mark", F.octet_length("text").alias("bytes"), F.crc32(F.col("text").cast("binary")).alias("crc")).where(F.col("bytes") >= length)
+    content = stored(content, "suffix-contents")
+    first = content.groupBy("mark", "bytes", "crc").agg(F.min("doc").alias("first")).select(F.col("mark").alias("f_mark"), "first")
+    copies = content.join(first, F.col("mark") == F.col("f_mark")).where("doc > first")
+    copies = stored(copies.select(F.col("doc").alias("c_doc"), F.col("mark").alias("c_mark"), "bytes").distinct(), "suffix-copies")
+    own = whole.join(small_side(copies.select("c_doc", "c_mark")), (F.col("doc") == F.col("c_doc")) & (F.col("mark") == F.col("c_mark")), "left_anti").select("doc", "mark", "text")
 
     def dealt(batches):
+        """The runs of a piece, packed for each range of anchors (kind 0); those that a smaller document of the piece covers apart (kind 1)."""
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", 2_000_000):
                 raw, offsets = buffers(piece.column(2))
                 doc, mark = piece.column(0).to_numpy(), piece.column(1).to_numpy()
-                out = [(*runs(raw[a:b], length), i) for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist()))]
-                row = np.concatenate([np.full(len(x[0]), x[4]) for x in out])
-                cols = [np.concatenate([x[j] for x in out]) for j in range(4)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((cols[0] >> 32).astype(np.int32)), pa.array(cols[1]), pa.array(doc[row]), pa.array(mark[row]), pa.array(cols[2].astype(np.int32)), pa.array((cols[3] - cols[2]).astype(np.int32))],
-                    names=["anchor", "string", "doc", "mark", "start", "size"],
-                )
-
-    entries = own.mapInArrow(dealt, "anchor int, string long, doc long, mark long, start int, size int")
-    entries = entries.repartition(n, "anchor").sortWithinPartitions("anchor", "string", "doc")
+                out = [runs(raw[a:b], length) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                row = np.repeat(np.arange(len(out)), [len(x[0]) for x in out])
+                h, string, start, end, at, before, behind = (np.concatenate([x[j] for x in out]) for j in range(7))
+                anchor = (h.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+                table = (anchor, string.view(np.uint64) >> np.uint64(16), doc[row], mark[row], start.astype(np.uint32), ((end - start) << 8 | at - start).astype(np.uint16), before.astype(np.uint16), behind.astype(np.uint16))
+                order = np.lexsort((table[2], table[1], anchor))
+                new = np.ones(len(order), bool)
+                new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (table[1][order][1:] != table[1][order][:-1])
+                least = table[2][order][np.flatnonzero(new)][np.cumsum(new) - 1]
+                covered = np.zeros(len(order), bool)
+                covered[order] = table[2][order] > least
+                range_ = ((anchor.astype(np.uint64) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+                own_part = np.where(covered, ranges, range_)
+                order = np.argsort(own_part, kind="stable")
+                parts, first = np.unique(own_part[order], return_index=True)
+                blobs = [_pack([c[i] for c in table]) for i in np.split(order, first[1:])] if len(order) else []
+                to = np.where(parts == ranges, int(doc[0]) % ranges if len(doc) else 0, parts)
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array((parts == ranges).astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "kind", "blob"])
+
+    packed = own.mapInArrow(dealt, "part int, kind int, blob binary").repartitionById(ranges, F.col("part")).select("kind", "blob")
 
     def settled(batches):
         """Runs whose string a smaller document holds are covered; of anchors with several strings and documents, the others go on."""
-        held = None
+        held: list[list[np.ndarray]] = []
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            a = table.column(0).to_numpy()
-            cut = int(np.searchsorted(a, a[-1])) if len(a) else 0  # the last anchor may go on
-            held = table.slice(cut)
-            if cut:
-                yield from _settle(table.slice(0, cut))
-        if held is not None and held.num_rows:
-            yield from _settle(held)
-
-    open_ = entries.mapInArrow(settled, "anchor int, doc long, mark long, start int, size int, covered boolean")
-    covered = open_.where("covered").select("doc", "mark", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("size")).cast("long").alias("end"))
+            for kind, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                columns = _unpack(blob.as_buffer())
+                if kind:
+                    yield _open_rows(columns, np.ones(len(columns[0]), bool))
+                else:
+                    held.append(columns)
+        if held:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            held.clear()
+            order = np.lexsort((columns[2], columns[1], columns[0]))
+            yield from _settle([c[order] for c in columns])
+            del columns, order
+        give_back()
+
+    # size holds the run's bytes * 256 + the anchor's place in it
+    open_ = packed.mapInArrow(settled, "anchor int, doc long, mark long, start int, size int, covered boolean")
+    covered = open_.where("covered").select("doc", "mark", F.col("start").cast("long").alias("start"), (F.col("start") + F.shiftright("size", 8)).cast("long").alias("end"))
     wanted = open_.where("not covered").groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "start", "size")).alias("runs"))
     wanted = wanted.select(F.col("doc").alias("w_doc"), F.col("mark").alias("w_mark"), "runs")
 
@@ -244,64 +278,131 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 anchor, start, size = (x.to_numpy() for x in flat)
                 row = np.repeat(np.arange(piece.num_rows), count)
                 lo = offsets[row] + start
-                # windows that many runs of one document share lie side by side: the bytes go as they are
-                got = [data[a : a + m] for a, m in zip(lo.tolist(), size.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), piece.column(0).take(pa.array(row)), piece.column(1).take(pa.array(row)), pa.array(start), pa.array(got, pa.binary())], names=["anchor", "doc", "mark", "start", "bytes"])
+                got = [data[a : a + m] for a, m in zip(lo.tolist(), (size >> 8).tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), piece.column(0).take(pa.array(row)), piece.column(1).take(pa.array(row)), pa.array(start), pa.array(size & 255), pa.array(got, pa.binary())], names=["anchor", "doc", "mark", "start", "place", "bytes"])
 
+    # both joins with whole texts read this one exchange
+    base = whole.select("doc", "mark", "text").repartition(n, "doc", "mark")
     strings = base.join(wanted, (F.col("doc") == F.col("w_doc")) & (F.col("mark") == F.col("w_mark"))).select("doc", "mark", "text", "runs")
-    strings = strings.mapInArrow(fetched, "anchor int, doc long, mark long, start int, bytes binary")
-    strings = strings.repartition(n, "anchor").sortWithinPartitions("anchor", "bytes", "doc")
+    strings = strings.mapInArrow(fetched, "anchor int, doc long, mark long, start int, place int, bytes binary")
+    strings = strings.repartition(n, "anchor").sortWithinPartitions("anchor")
 
     def sorted_blocks(batches):
-        rows: list[tuple] = []
-        total, last = 0, None
+        block, out, group, last, total = [], [], [], None, 0
         for batch in batches:
-            for r in zip(*(batch.column(j).to_pylist() for j in range(5))):
-                if r[0] != last and total >= BLOCK_BYTES:
-                    yield _block(rows, length)
-                    rows, total = [], 0
+            for r in zip(*(batch.column(j).to_pylist() for j in range(6))):
+                if r[0] != last and group:
+                    total += _trim(group, length, block, out)
+                    group = []
+                    if total >= BLOCK_BYTES:
+                        yield _block(block, out, length)
+                        block, out, total = [], [], 0
                 last = r[0]
-                rows.append(r)
-                total += len(r[4])
-        if rows:
-            yield _block(rows, length)
+                group.append(r[1:])
+        if group:
+            _trim(group, length, block, out)
+            yield _block(block, out, length)
+        give_back()
 
     shared = strings.mapInArrow(sorted_blocks, "doc long, mark long, start long, end long")
-    # a later copy of a content goes as a whole
-    copies = content.join(first.select("f_doc", F.col("f_mark").alias("c_mark")), (F.col("mark") == F.col("c_mark")) & (F.col("doc") > F.col("f_doc")))
-    copies = copies.select("doc", "mark", F.lit(0).cast("long").alias("start"), F.col("bytes").cast("long").alias("end"))
+    copies = copies.select(F.col("c_doc").alias("doc"), F.col("c_mark").alias("mark"), F.lit(0).cast("long").alias("start"), F.col("bytes").cast("long").alias("end"))
     every = covered.union(shared).union(copies).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("covered"))
     every = every.select(F.col("doc").alias("e_doc"), F.col("mark").alias("e_mark"), "covered")
     return base.join(every, (F.col("doc") == F.col("e_doc")) & (F.col("mark") == F.col("e_mark")), "left").select("doc", "text", "covered")
 
 
-def _settle(table: pa.Table):
-    anchor, string, doc, start, size = (table.column(c).to_numpy() for c in ("anchor", "string", "doc", "start", "size"))
-    new_anchor = np.diff(anchor, prepend=anchor[0] - 1) != 0 if len(anchor) else np.zeros(0, bool)
-    new_anchor[:1] = True
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Columns anchor, string (48 bits), doc, mark, start, size, before, behind as bytes; docs and marks, which come in runs, once a run."""
+    anchor, string, doc, mark, start, size, before, behind = columns
+    new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])))
+    wide = string.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    head = np.array([len(anchor), len(new)], np.int64)
+    counts = np.diff(np.append(new, len(doc)))
+    return b"".join(np.ascontiguousarray(x).tobytes() for x in (head, doc[new], mark[new], counts, anchor, start, size, before, behind, wide))
+
+
+def _unpack(data) -> list[np.ndarray]:
+    n, k = (int(x) for x in np.frombuffer(data, np.int64, 2))
+    at, out = 16, []
+    for kind, count in ((np.int64, k), (np.int64, k), (np.int64, k), (np.uint32, n), (np.uint32, n), (np.uint16, n), (np.uint16, n), (np.uint16, n), (np.uint8, 6 * n)):
+        out.append(np.frombuffer(data, kind, count, at))
+        at += out[-1].nbytes
+    doc, mark, counts, anchor, start, size, before, behind, wide = out
+    string = np.zeros((n, 8), np.uint8)
+    string[:, :6] = wide.reshape(-1, 6)
+    return [anchor, string.view("<u8").ravel(), np.repeat(doc, counts), np.repeat(mark, counts), start, size, before, behind]
+
+
+def _open_rows(columns: list[np.ndarray], covered: np.ndarray) -> pa.RecordBatch:
+    anchor, _, doc, mark, start, size = columns[:6]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(anchor.view(np.int32)), pa.array(doc), pa.array(mark), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(covered)],
+        names=["anchor", "doc", "mark", "start", "size", "covered"],
+    )
+
+
+def _settle(columns: list[np.ndarray]):
+    anchor, string, doc = columns[:3]
+    new_anchor = np.append(True, anchor[1:] != anchor[:-1])
     new_string = new_anchor.copy()
     new_string[1:] |= string[1:] != string[:-1]
     at = np.flatnonzero(new_string)
-    least = np.repeat(doc[at], np.diff(np.append(at, len(doc))))
-    whole = doc > least
+    whole = doc > np.repeat(doc[at], np.diff(np.append(at, len(doc))))
     group = np.cumsum(new_anchor) - 1
     g = np.flatnonzero(new_anchor)
     several = (np.minimum.reduceat(doc, g) != np.maximum.reduceat(doc, g)) & (np.add.reduceat(new_string.astype(np.int64), g) > 1)
-    keep = whole | several[group]
-    out = table.select(["anchor", "doc", "mark", "start", "size"]).append_column("covered", pa.array(whole)).filter(pa.array(keep))
-    yield from out.combine_chunks().to_batches()
-
-
-def _block(rows: list[tuple], length: int) -> pa.RecordBatch:
-    # equal strings of one document differ in place alone: each is in the block once
-    number: dict[tuple, int] = {}
-    which = [number.setdefault((r[4], r[1]), len(number)) for r in rows]
-    strings = [k[0] for k in number]
-    found = block_spans(strings, np.array([k[1] for k in number], np.int64), length) if len(set(k[1] for k in number)) > 1 else []
-    by: dict[int, list] = {}
-    for i, a, b in found:
-        by.setdefault(i, []).append((a, b))
-    out = [(r[1], r[2], r[3] + a, r[3] + b) for r, i in zip(rows, which) for a, b in by.get(i, ())]
+    # a window holds half of the bytes before its anchor or half of those behind: another string must share them
+    near = np.zeros(len(doc), bool)
+    for side in columns[6:]:
+        key = anchor.astype(np.uint64) << np.uint64(16) | side
+        known, count = np.unique(key[at], return_counts=True)
+        near |= (side > 0) & np.isin(key, known[count > 1])
+    keep = np.flatnonzero(whole | (several[group] & near))
+    for lo in range(0, len(keep), 50_000):
+        part = keep[lo : lo + 50_000]
+        yield _open_rows([c[part] for c in columns], whole[part])
+
+
+def _trim(group: list[tuple], length: int, block: list, out: list) -> int:
+    """Cut the runs of one anchor (doc, mark, start, place, bytes) to the windows that others may share.
+
+    Of equal cut strings, those beyond the least document are covered: they go to out. The distinct
+    strings go to block, as (bytes, least doc, its rows). The number of bytes added is returned.
+    """
+    k = anchor_size(length)
+    span = length - k
+    sides = []
+    for _, _, _, place, data in group:
+        before, behind = data[:place][::-1], data[place + k : place + length]
+        sides.append((int.from_bytes(before.ljust(span, b"\xff"), "big"), int.from_bytes(behind.ljust(span, b"\xff"), "big")))
+    agree = [[0, 0] for _ in group]
+    for side in (0, 1):
+        order = sorted(range(len(group)), key=lambda i: sides[i][side])
+        for i, j in zip(order, order[1:]):
+            same = span - ((sides[i][side] ^ sides[j][side]).bit_length() + 7) // 8
+            agree[i][side] = max(agree[i][side], same)
+            agree[j][side] = max(agree[j][side], same)
+    strings: dict[bytes, list[tuple]] = {}
+    for (doc, mark, start, place, data), (before, behind) in zip(group, agree):
+        low = max(span - behind, place - (len(data) - length))  # bytes of a window before the anchor
+        high = min(before, place)
+        if low <= high:
+            strings.setdefault(data[place - high : place - low + length], []).append((doc, mark, start + place - high))
+    total = 0
+    several = len(strings) > 1
+    for data, rows in strings.items():
+        least = min(r[0] for r in rows)
+        out.extend((doc, mark, start, start + len(data)) for doc, mark, start in rows if doc > least)
+        if several:
+            block.append((data, least, [r for r in rows if r[0] == least]))
+            total += len(data)
+    return total
+
+
+def _block(block: list, out: list, length: int) -> pa.RecordBatch:
+    if block:
+        for i, a, b in block_spans([x[0] for x in block], np.array([x[1] for x in block], np.int64), length):
+            out.extend((doc, mark, start + a, start + b) for doc, mark, start in block[i][2])
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["doc", "mark", "start", "end"])
 
 
