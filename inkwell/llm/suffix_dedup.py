@@ -38,7 +38,7 @@ LENGTH = 50
 LAST = (1 << 63) - 1
 BLOCK_BYTES = 60_000
 #: Ranges of anchors for each shuffle partition; a task holds the packed runs of one range.
-RANGES = 4
+RANGES = 2
 #: Bytes of a text that are hashed at once; pieces overlap by the windows' length.
 PIECE = 1 << 18
 
@@ -226,7 +226,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out = [runs(raw[a:b], length) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 row = np.repeat(np.arange(len(out)), [len(x[0]) for x in out])
                 h, string, start, end, at, before, behind = (np.concatenate([x[j] for x in out]) for j in range(7))
-                anchor = (h.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+                anchor = (mix64(h.view(np.uint64)) >> np.uint64(32)).astype(np.uint32)  # mixed again: least hashes are small
                 table = (anchor, string.view(np.uint64) >> np.uint64(16), doc[row], mark[row], start.astype(np.uint32), ((end - start) << 8 | at - start).astype(np.uint16), before.astype(np.uint16), behind.astype(np.uint16))
                 order = np.lexsort((table[2], table[1], anchor))
                 new = np.ones(len(order), bool)
