@@ -249,7 +249,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         held: list[list[np.ndarray]] = []
         for batch in batches:
             for kind, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                columns = _unpack(blob.as_buffer())
+                columns = _unpack(blob.as_py())
                 if kind:
                     yield _open_rows(columns, np.ones(len(columns[0]), bool))
                 else:
@@ -318,10 +318,12 @@ def _pack(columns: list[np.ndarray]) -> bytes:
     wide = string.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
     head = np.array([len(anchor), len(new)], np.int64)
     counts = np.diff(np.append(new, len(doc)))
-    return b"".join(np.ascontiguousarray(x).tobytes() for x in (head, doc[new], mark[new], counts, anchor, start, size, before, behind, wide))
+    data = b"".join(np.ascontiguousarray(x).tobytes() for x in (head, doc[new], mark[new], counts, anchor, start, size, before, behind, wide))
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
-def _unpack(data) -> list[np.ndarray]:
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    data = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
     n, k = (int(x) for x in np.frombuffer(data, np.int64, 2))
     at, out = 16, []
     for kind, count in ((np.int64, k), (np.int64, k), (np.int64, k), (np.uint32, n), (np.uint32, n), (np.uint16, n), (np.uint16, n), (np.uint16, n), (np.uint8, 6 * n)):
