@@ -1,10 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Every n-gram of a test item is a seed; its document frequency is counted over the whole corpus, and
-each item keeps the rarer half of its seeds (all that are no more frequent than its median seed, so
-an item whose seeds are all frequent keeps them). Where a document holds a kept seed, the item is
-aligned to the words around it: equal words (A-Z lower-cased) score MATCH, others MISMATCH, a gap
-GAP. A copy counts as a leak if it reaches `threshold` of the score of the item against itself.
+Every n-gram of a test item is a seed. Where a document holds a seed, the item is aligned to the words
+around it, as many as an alignment of `threshold` can reach: equal words (A-Z lower-cased) score MATCH,
+others MISMATCH, a gap GAP. A copy counts as a leak if it reaches `threshold` of the score of the item
+against itself. An item keeps only its rarer half of seeds, by document frequency over the whole corpus
+and among the seeds that occur, if breaking all of them would cost more than a copy of `threshold` can
+lose; otherwise it keeps them all. At 0.5 that bound never holds, so all seeds are looked up and nothing
+is counted. A copy without SEED_WORDS words of the item in a row (every third one replaced) has no seed.
 
 Items are sent to the executors in blocks of at most BLOCK_WORDS words; a larger benchmark takes
 one pass over the corpus for each block, so what is broadcast has a fixed bound.
@@ -123,7 +125,7 @@ class Items:
         row, item, base = row[by], item[by], base[by]
         out = []
         length = np.array([len(w) for w in self.words])
-        slack = length[item] // 3 + 3
+        slack = (MATCH * length[item] * (1 - threshold) / GAP).astype(np.int64) + 1  # gaps that a copy can have
         new = np.ones(len(by), bool)
         new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (base[1:] - base[:-1] > length[item[1:]] + 2 * slack[1:])
         begin = np.flatnonzero(new)
@@ -133,9 +135,12 @@ class Items:
             r, i = int(row[a]), int(item[a])
             low = max(int(first[r]), int(base[a] - slack[a]))
             high = min(int(first[r + 1]), int(base[b - 1] + length[i] + slack[a]))
-            score, x, y = aligned_span(words[low:high], self.words[i])
-            share = score / (MATCH * int(length[i]))
+            around = words[low:high]
+            if np.isin(self.words[i], around).sum() < threshold * length[i]:  # as many words match at most
+                continue
+            share = align(around, self.words[i])[0] / (MATCH * int(length[i]))
             if share >= threshold and share > best.get((r, i), (0,))[0]:
+                _, x, y = aligned_span(around, self.words[i])
                 best[r, i] = (share, int(start[low + x] - offsets[r]), int(end[low + y - 1] - offsets[r]))
         out.extend((r, i, *found) for (r, i), found in best.items())
         return out
@@ -154,9 +159,21 @@ def blocks(benchmark: DataFrame) -> list[Items]:
     return [Items(*x) for x in out.values()]
 
 
-def _rare(docs: DataFrame, block: Items) -> Items:
-    """Leave each item its rarer seeds, by their frequency over all documents."""
+def _must_hold(n_seeds: np.ndarray | int, length: np.ndarray | int, threshold: float) -> np.ndarray | bool:
+    """Whether a copy of an item of so many words must hold one of n_seeds of its seeds to reach threshold.
+
+    A gap in the item breaks SEED_WORDS - 1 seeds, a word replaced or left out SEED_WORDS, a word cut at an end one.
+    """
+    each = min(GAP / (SEED_WORDS - 1), (MATCH - MISMATCH) / SEED_WORDS, (MATCH + GAP) / SEED_WORDS, MATCH)
+    return n_seeds * each > MATCH * length * (1 - threshold)
+
+
+def _rare(docs: DataFrame, block: Items, threshold: float) -> Items:
+    """Leave an item its rarer seeds, by their frequency over all documents, if each copy must hold one of them."""
     bounded_batches(docs)
+    length = np.array([len(w) for w in block.words])
+    if not _must_hold(np.bincount(block.owner, minlength=len(length)), length, threshold).any():
+        return block
     sent = docs.sparkSession.sparkContext.broadcast(block)
 
     def counted(batches):
@@ -183,11 +200,15 @@ def _rare(docs: DataFrame, block: Items) -> Items:
         k = np.minimum(np.searchsorted(seeds, block.seeds), len(seeds) - 1)
         freq = np.where(seeds[k] == block.seeds, n[k], 0)
     keep = np.zeros(len(freq), bool)
+    keep[freq > 0] = True
     by = np.lexsort((freq, block.owner))
+    by = by[freq[by] > 0]
     edge = np.flatnonzero(np.diff(block.owner[by])) + 1
     for part in np.split(by, edge):
         if len(part):
-            keep[part] = freq[part] <= freq[part[(len(part) - 1) // 2]]
+            rare = freq[part] <= freq[part[(len(part) - 1) // 2]]
+            if _must_hold(int(rare.sum()), int(length[block.owner[part[0]]]), threshold):
+                keep[part] = rare
     block.order(block.seeds, keep)
     block.__dict__.pop("table", None)
     sent.unpersist()
@@ -201,7 +222,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     schema = "doc_id long, item_id long, score double, start_byte long, end_byte long"
     out = spark.createDataFrame([], schema)
     for block in blocks(benchmark):
-        sent = spark.sparkContext.broadcast(_rare(narrow, block))
+        sent = spark.sparkContext.broadcast(_rare(narrow, block, threshold))
 
         def found(batches, sent=sent):
             for batch in batches:
@@ -220,7 +241,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     spark = docs.sparkSession
     whole, k = docs, docs.columns.index("text")
     for block in blocks(benchmark):
-        sent = spark.sparkContext.broadcast(_rare(whole, block))
+        sent = spark.sparkContext.broadcast(_rare(whole, block, threshold))
 
         def kept(batches, sent=sent):
             for batch in batches:

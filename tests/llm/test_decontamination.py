@@ -67,3 +67,33 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "some text here")], "item_id long, text string")
     assert dc.leaks(docs.limit(0), bench).collect() == [] and dc.leaks(docs, bench.limit(0)).collect() == []
     assert dc.clean(docs, bench.limit(0)).count() == 1 and dc.clean(docs, bench).count() == 0
+
+
+@pytest.mark.parametrize("threshold, parts", [(0.5, 0), (0.5, 3), (0.9, 3)])
+def test_every_edited_or_partial_copy_is_found(spark, threshold, parts):
+    rng = random.Random(9)
+    items = [(i, [f"i{i}w{j}" for j in range(n)]) for i, n in enumerate((12, 20, 25, 30, 40, 41, 60, 20, 20, 30, 40, 30))]
+    docs = []
+    for i, item in items:
+        if i > 6:  # the corpus holds one copy of it, the first words or one with edits
+            every = i - 3
+            docs.append(item[: len(item) // 2 + 1] if i == 11 else [f"new{j}" if j % every == every - 1 else w for j, w in enumerate(item)])
+            continue
+        for every in (3, 4, 5, 6, 8, 20):
+            docs.append([f"new{j}" if j % every == every - 1 else w for j, w in enumerate(item)])
+            docs.append([x for j, w in enumerate(item) for x in ([w, "in"] if j % every == every - 1 else [w])])
+            docs.append([w for j, w in enumerate(item) if j % every])
+        half = len(item) // 2 + 1
+        docs += [item[:half], item[-half:], item[: half - 3], item[: len(item) * 24 // 25], item[:5] + ["in"] * (len(item) // 2) + item[5:]]
+        docs += [item[k : k + 4] for k in range(0, len(item), 2) for _ in range(parts)]  # parts of it that are frequent
+    docs = [[f"x{rng.randrange(50)}" for _ in range(rng.randrange(9))] + d + [f"x{rng.randrange(50)}" for _ in range(rng.randrange(9))] for d in docs]
+    seeds = lambda words: {tuple(words[k : k + 3]) for k in range(len(words) - 2)}
+    want = {}
+    for k, d in enumerate(docs):
+        for i, item in items:
+            share = brute_score(d, item) / (2 * len(item)) if seeds(d) & seeds(item) else 0
+            if share >= threshold:
+                want[k, i] = share
+    frame = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string").repartition(3)
+    got = dc.leaks(frame, spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string"), threshold).collect()
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == want
