@@ -2,8 +2,10 @@
 
 A text is cut into sentences and their clauses: words up to one that ends in . ! ? , ; or : or that
 a line break follows. From each sentence starts one span: the
-fewest following sentences, two at least, with LEAST_WORDS words in all. Spans are hashed on their
-lower-cased words. Of equal spans the first (least doc_id, then first in the text) stays; every
+fewest following sentences, two at least, with LEAST_WORDS words in all. With `every_run` (as in the
+query) the fewest with that many words that end at each sentence are spans too: every longer run is
+then the union of the spans in it, so what is removed is what hashing all runs would remove. Spans are
+hashed on their lower-cased words. Of equal spans the first (least doc_id, then first in the text) stays; every
 sentence that another one covers is removed.
 
 Defined cases: a null text stays null and has no sentences; null doc_ids come last; rows of one
@@ -34,7 +36,7 @@ LAST = (1 << 63) - 1
 class Cut:
     """The sentences and spans of a piece of a batch."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, least_words: int, least_sentences: int):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, least_words: int, least_sentences: int, every_run: bool = False):
         start, end, first = word_spans(raw, offsets)
         self.n_rows = len(offsets) - 1
         n = len(start)
@@ -56,14 +58,23 @@ class Cut:
         if m:
             edge = offsets[1:][self.row]
             self.until = np.minimum(self.until, edge)
-        # spans: [i, stop_at[i]) sentences, where they fit in the row
+        # spans: [lo, hi) sentences, where they fit in the row, in order of the text
         ends = np.append(self.word[1:], n) if m else self.word
+        each = np.arange(m)
         reach = np.searchsorted(ends, self.word + least_words, "left") + 1
-        self.stop_at = np.maximum(reach, np.arange(m) + least_sentences)
-        self.ok = self.stop_at <= self.first[1:][self.row] if m else np.zeros(0, bool)
-        self.hash = np.zeros(m, np.uint64)
-        at = np.flatnonzero(self.ok)
-        if len(at):
+        hi = np.maximum(reach, each + least_sentences)
+        ok = hi <= self.first[1:][self.row]
+        self.lo, self.hi = each[ok], hi[ok]
+        if every_run:
+            lo = np.minimum(np.searchsorted(self.word, ends - least_words, "right") - 1, each + 1 - least_sentences)
+            ok = lo >= self.first[:-1][self.row]
+            ok[ok] = hi[lo[ok]] != each[ok] + 1  # else it is the span from there
+            lo, hi = np.append(self.lo, lo[ok]), np.append(self.hi, each[ok] + 1)
+            by = np.lexsort((hi, lo))
+            self.lo, self.hi = lo[by], hi[by]
+        self.first_span = np.searchsorted(self.lo, self.first)
+        self.hash = np.zeros(len(self.lo), np.uint64)
+        if len(self.lo):
             with np.errstate(over="ignore"):
                 words = word_hashes(raw, start, end)
                 power = np.full(n, _BASE, np.uint64)
@@ -73,11 +84,11 @@ class Cut:
                 back[0] = 1
                 back = np.multiply.accumulate(back)
                 prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power)])
-                a, b = self.word[at], ends[self.stop_at[at] - 1]
-                self.hash[at] = mix64((prefix[b] - prefix[a]) * back[a] + (b - a).astype(np.uint64))
+                a, b = self.word[self.lo], ends[self.hi - 1]
+                self.hash = mix64((prefix[b] - prefix[a]) * back[a] + (b - a).astype(np.uint64))
 
 
-def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS, least_sentences: int = LEAST_SENTENCES) -> DataFrame:
+def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS, least_sentences: int = LEAST_SENTENCES, every_run: bool = False) -> DataFrame:
     """docs with the text cleaned, and span_sentences, span_removed (sentences), span_cuts (start:end in bytes, comma-joined)."""
     bounded_batches(docs)
     key = F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("s_doc")
@@ -86,11 +97,10 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     def spans(batches):
         for batch in batches:
             for piece in slices(batch, "s_text"):
-                cut = Cut(*buffers(piece.column(1)), least_words, least_sentences)
-                at = np.flatnonzero(cut.ok)
-                ids = piece.column(0).to_numpy()[cut.row[at]]
+                cut = Cut(*buffers(piece.column(1)), least_words, least_sentences, every_run)
+                ids = piece.column(0).to_numpy()[cut.row[cut.lo]]
                 # a span counts once a document here: repeats within one merge before the shuffle
-                h = cut.hash[at].view(np.int64)
+                h = cut.hash.view(np.int64)
                 order = np.lexsort((h, ids))
                 keep = np.ones(len(order), bool)
                 keep[1:] = (h[order][1:] != h[order][:-1]) | (ids[order][1:] != ids[order][:-1])
@@ -113,22 +123,21 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             for piece in slices(batch, text_column):
                 texts, cuts, removed = [], [], []
                 raw, offsets = buffers(piece.column(k))
-                cut = Cut(raw, offsets, least_words, least_sentences)
+                cut = Cut(raw, offsets, least_words, least_sentences, every_run)
                 marked = piece.column(len(fields))
                 null = piece.column(k).is_null().to_pylist()
                 for i in range(piece.num_rows):
                     a, b = int(cut.first[i]), int(cut.first[i + 1])
                     lo, hi = int(offsets[i]), int(offsets[i + 1])
-                    h = cut.hash[a:b]
-                    out = cut.ok[a:b].copy()
-                    later = np.ones(b - a, bool)  # a repeat inside the text, past its first
+                    mine = slice(int(cut.first_span[i]), int(cut.first_span[i + 1]))
+                    h = cut.hash[mine]
+                    later = np.ones(len(h), bool)  # a repeat inside the text, past its first
                     later[np.unique(h, return_index=True)[1]] = False
                     flagged = marked[i].as_py() if marked[i].is_valid else None
-                    out &= later | np.isin(h.view(np.int64), flagged) if flagged else later
+                    out = later | np.isin(h.view(np.int64), flagged) if flagged else later
                     cover = np.zeros(b - a + 1, np.int64)
-                    at = np.flatnonzero(out)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, cut.stop_at[a:b][at] - a, -1)
+                    np.add.at(cover, cut.lo[mine][out] - a, 1)
+                    np.add.at(cover, cut.hi[mine][out] - a, -1)
                     covered = np.cumsum(cover[:-1]) > 0
                     removed.append(int(covered.sum()))
                     kept, last, here = [], lo, []

@@ -1,4 +1,5 @@
 import random
+import re
 
 from inkwell.llm import sentence_spans
 
@@ -65,3 +66,56 @@ def test_matches_brute_force(spark):
 
 def test_empty_table(spark):
     assert sentence_spans.dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def brute_runs(rows, least_words=20, least=2):
+    """Removed sentences of each row, from all runs of consecutive sentences with least_words words."""
+    cut = []
+    for doc, text in rows:
+        units = [u.split() for u in re.split(r"(?<=[.!?,;:\n])\s+", text.strip()) if u.split()]
+        ends = [(i, j) for i in range(len(units)) for j in range(i + least, len(units) + 1)]
+        cut.append([(i, j, run) for i, j in ends if len(run := tuple(w.lower() for u in units[i:j] for w in u)) >= least_words])
+    low = {}
+    for (doc, _), runs in zip(rows, cut):
+        for _, _, run in runs:
+            low[run] = min(low.get(run, doc), doc)
+    out = {}
+    for (doc, _), runs in zip(rows, cut):
+        seen, gone = set(), set()
+        for i, j, run in runs:
+            if run in seen or low[run] != doc:
+                gone |= set(range(i, j))
+            seen.add(run)
+        out[doc] = len(gone)
+    return out
+
+
+def test_every_repeated_run_is_covered(spark):
+    rng = random.Random(5)
+    new = lambda n: " ".join("".join(rng.choice("abcde") for _ in range(8)) for _ in range(n)) + rng.choice(".,;")
+    shared = [[new(rng.choice([1, 3, 6, 12])) for _ in range(rng.randrange(2, 9))] for _ in range(30)]
+    shared.append([new(12), new(12), new(3)])
+    rows = [(0, " ".join([new(9), *shared[-1], new(9)])), (1, " ".join([new(30), *shared[-1], new(40)]))]
+    for i in range(2, 90):
+        units = []
+        for _ in range(rng.randrange(6)):
+            run = rng.choice(shared)
+            a = rng.randrange(len(run))
+            units += rng.choice([run, run[a:], run[: a + 1], [new(4)], [new(15), new(2)]])
+        rows.append((i, " ".join(units)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["span_removed"] for r in sentence_spans.dedup(docs, every_run=True).collect()}
+    want = brute_runs(rows)
+    assert got == want and want[1] == 3
+    assert sum(r["span_removed"] for r in sentence_spans.dedup(docs).collect()) < sum(want.values())  # spans by start alone miss some
+
+
+def test_query_covers_every_run(spark, tmp_path):
+    from inkwell.llm.queries import op8_sentence_spans
+
+    words = lambda k, n: " ".join(f"{k}w{i}" for i in range(n)) + "."
+    run = [words("a", 12), words("b", 12), words("c", 3)]
+    rows = [(i, " ".join([words(f"x{i}", 9), *run, words(f"y{i}", 9)])) for i in range(2)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in op8_sentence_spans(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, rows[0][1]), 1: (3, words("x1", 9) + " " + words("y1", 9))}
