@@ -4,7 +4,10 @@ A text is cut into sentences and their clauses: words up to one that ends in . !
 a line break follows. From each sentence starts one span: the
 fewest following sentences, two at least, with LEAST_WORDS words in all. With `every_run` (as in the
 query) the fewest with that many words that end at each sentence are spans too: every longer run is
-then the union of the spans in it, so what is removed is what hashing all runs would remove. Spans are
+then the union of the spans in it, so what is removed is what hashing all runs would remove. Then also
+a sentence of LEAST_WORDS words or more is cut into pieces, each a sentence of its own, after every word
+whose hash is the least of PIECE_WORDS neighbours in it: equal sentences are cut alike, and so is an
+equal passage of them but for PIECE_WORDS - 1 words at its edges. Spans are
 hashed on their lower-cased words. Of equal spans the first (least doc_id, then first in the text) stays; every
 sentence that another one covers is removed.
 
@@ -26,6 +29,7 @@ from inkwell.llm.common import bounded_batches, buffers, mix64, slices, word_has
 
 LEAST_WORDS = 20
 LEAST_SENTENCES = 2
+PIECE_WORDS = 8
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?,;:"]] = True
 _BASE = np.uint64(0xBF58476D1CE4E5B9)
@@ -33,6 +37,22 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 LAST = (1 << 63) - 1
 
 
+def piece_ends(words: np.ndarray, last: np.ndarray, least_words: int) -> np.ndarray:
+    """Last words of the sentences and, within those of least_words words or more, of their pieces."""
+    begin = np.append(0, last[:-1] + 1)
+    size = last + 1 - begin
+    long = np.flatnonzero(size >= max(least_words, PIECE_WORDS))
+    if not len(long):
+        return last
+    # the windows of PIECE_WORDS words of each long sentence; the last of equal least hashes counts
+    n = size[long] - PIECE_WORDS + 1
+    at = np.repeat(begin[long], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    best = at
+    for k in range(1, PIECE_WORDS):
+        best = np.where(words[at + k] <= words[best], at + k, best)
+    return np.union1d(last, best)
+
+
 class Cut:
     """The sentences and spans of a piece of a batch."""
 
@@ -49,6 +69,9 @@ class Cut:
             stop[first[1:][np.diff(first) > 0] - 1] = True
         #: sentences: first word, first byte, byte after (white space that follows included), row
         last = np.flatnonzero(stop)
+        words = word_hashes(raw, start, end)
+        if every_run and n:
+            last = piece_ends(words, last, least_words)
         self.word = np.concatenate([[0], last[:-1] + 1]) if n else np.zeros(0, np.int64)
         self.row = row[last] if n else np.zeros(0, np.int64)
         self.first = np.searchsorted(self.row, np.arange(self.n_rows + 1))
@@ -76,7 +99,6 @@ class Cut:
         self.hash = np.zeros(len(self.lo), np.uint64)
         if len(self.lo):
             with np.errstate(over="ignore"):
-                words = word_hashes(raw, start, end)
                 power = np.full(n, _BASE, np.uint64)
                 power[0] = 1
                 power = np.multiply.accumulate(power)

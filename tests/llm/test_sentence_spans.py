@@ -119,3 +119,26 @@ def test_query_covers_every_run(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in op8_sentence_spans(spark, str(tmp_path)).collect()}
     assert got == {0: (0, rows[0][1]), 1: (3, words("x1", 9) + " " + words("y1", 9))}
+
+
+def test_copies_and_passages_without_stops_go(spark):
+    rng = random.Random(8)
+    words = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    texts, want = [], {}
+    for n in (20, 21, 25, 50, 51, 300):  # copies of a text that is a single sentence
+        text = " ".join(words(n))
+        want[len(texts) + 1] = (n, n)
+        texts += [text, text]
+    for n in (50, 60, 200):  # passages within one; up to 15 words stay at each edge
+        for _ in range(20):
+            passage = words(n)
+            want[len(texts) + 1] = (n - 30, n)
+            texts += [" ".join(words(rng.randrange(40)) + passage + words(rng.randrange(40))) for _ in range(2)]
+    texts += [" ".join(words(19))] * 2 + ["word " * 30]
+    got = {r["doc_id"]: r for r in sentence_spans.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), every_run=True).collect()}
+    for i, text in enumerate(texts[:-1]):
+        gone = len(text.split()) - len(got[i]["text"].split())
+        low, high = want.get(i, (0, 0))
+        assert low <= gone <= high
+        other = set(texts[i - 1].split())
+        assert not i or i not in want or set(text.split()) - other <= set(got[i]["text"].split())
