@@ -52,15 +52,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Cut the lineage by a written table in the shared folder."""
+def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Cut the lineage by a written table in the shared folder, of at most `files` files if that is given.
+
+    The table belongs to the query's result, which is lazy: it stays until the shared folder is cleared.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.option("compression", "zstd").parquet(path)
+    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Narrow rows that one file of a table in between holds, at least.
+FILE_ROWS = 50_000
+
+
+def few(spark: SparkSession, rows: int) -> int:
+    """Files for a table of at most so many narrow rows: as many as there are partitions, once each has FILE_ROWS."""
+    return max(1, min(partitions(spark), -(-rows // FILE_ROWS)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -110,7 +121,7 @@ def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000):
+def slices(batch: pa.RecordBatch, column: str, most: int = 256_000):
     """Cut a batch so that no piece but a single long row holds more than `most` bytes of the column."""
     k = batch.schema.get_field_index(column)
     if batch.num_rows == 0:
@@ -201,24 +212,26 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of edges between longs: node, root (the least node reachable), by alternating stars.
+    """Connected components of edges between values of any ordered type: node, root (the least node reachable), by alternating stars.
 
     Each round hangs every neighbour of a node on the node's least neighbour, first the larger ones,
     then the smaller ones; the rounds grow with the logarithm of the longest path. Minima are merged
     before the shuffle, and hot nodes meet only joins that Spark can split. Each round is written to
     the shared folder, so an executor that goes takes nothing with it.
     """
-    now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    spark = edges.sparkSession
+    rows = edges.count()  # edges that stand for the same components never become more
+    now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges", few(spark, rows))
     before = None
     while True:
-        both = now.union(now.select("v", "u"))
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.where("u <> v").distinct(), "large-star")
+        large = stored(large.where("u <> v").distinct(), "large-star", few(spark, rows))
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(least, F.col("u") == F.col("k"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
-        now = stored(small.where("u <> v").distinct(), "small-star")
+        now = stored(small.where("u <> v").distinct(), "small-star", few(spark, rows))
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
