@@ -160,7 +160,7 @@ def test_sets_sent_grow_with_the_copies(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "stored", watched)
     each = []
     for n in (250, 500, 1000):
-        docs = spark.createDataFrame(list(enumerate(near_copies(1, n))), "doc_id long, text string")
+        docs = spark.createDataFrame(list(enumerate(near_copies(1, n, words=300, edits=2))), "doc_id long, text string")
         rows = jaccard_join.join(docs).collect()
         assert {r["component_id"] for r in rows} == {0}
         each.append(sent["n"] / n)
