@@ -1,20 +1,24 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences and their clauses: words up to one that ends in . ! ? , ; or : or that
-a line break follows. From each sentence starts one span: the
-fewest following sentences, two at least, with LEAST_WORDS words in all. With `every_run` (as in the
-query) the fewest with that many words that end at each sentence are spans too: every longer run is
-then the union of the spans in it, so what is removed is what hashing all runs would remove. Then also
-a sentence of LEAST_WORDS words or more is cut into pieces, each a sentence of its own, after every word
-whose hash is the least of PIECE_WORDS neighbours in it: equal sentences are cut alike, and so is an
-equal passage of them but for PIECE_WORDS - 1 words at its edges. Spans are
-hashed on their lower-cased words. Of equal spans the first (least doc_id, then first in the text) stays; every
-sentence that another one covers is removed.
+A text is cut into sentences: words up to one that ends in a mark of STOPS or that a line break follows.
+What repeats are runs of several consecutive sentences (two at least, of any number of words). Of equal
+runs the first (least doc_id, then first in the text) stays; every sentence that another one covers is
+removed. A run of more than two sentences is covered by the runs of two inside it, which repeat where it
+does and are first where it is at the latest; so hashing all runs of two, on their lower-cased words,
+finds just what hashing all runs would find.
+
+Texts without stops have sentences too: one of LONG_WORDS words or more is cut into pieces, each a
+sentence of its own, after every word whose hash is the least of PIECE_WORDS neighbours in it. Equal
+sentences are cut alike, and so is an equal passage of them but for PIECE_WORDS - 1 words at its edges.
+
+Options: `least_words` asks for so many words in a run (the runs are then the shortest ones from each
+sentence and, with `every_run`, to each sentence, which cover all longer ones); `stops` are the marks;
+without `every_run` only runs from each sentence are hashed and long sentences stay whole.
 
 Defined cases: a null text stays null and has no sentences; null doc_ids come last; rows of one
 doc_id count as one document and keep what they share with each other, but a repeat inside one text
 goes; white space after a removed sentence goes with it; an empty table gives an empty result;
-columns of any name are kept (the operator's own are prefixed).
+columns of any name are kept, but one that is called like a column of the result is replaced by it.
 """
 
 from __future__ import annotations
@@ -25,23 +29,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.common import bounded_batches, buffers, mix64, slices, word_hashes, word_spans
+from inkwell.llm.common import bounded_batches, buffers, mix64, slices, stored, word_hashes, word_spans
 
-LEAST_WORDS = 20
+LEAST_WORDS = 0
 LEAST_SENTENCES = 2
+#: Sentences of so many words are cut into pieces.
+LONG_WORDS = 20
 PIECE_WORDS = 8
-_STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ".!?,;:"]] = True
+# Marks that end a sentence, and those of other scripts, which are longer than a byte.
+STOPS = ".!?"
+WIDE_STOPS = "。！？।؟۔"
 _BASE = np.uint64(0xBF58476D1CE4E5B9)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 LAST = (1 << 63) - 1
 
 
-def piece_ends(words: np.ndarray, last: np.ndarray, least_words: int) -> np.ndarray:
-    """Last words of the sentences and, within those of least_words words or more, of their pieces."""
+def ends_with(raw: np.ndarray, end: np.ndarray, marks: str) -> np.ndarray:
+    """Whether the bytes before each end are one of the marks."""
+    out = np.zeros(len(end), bool)
+    for mark in marks:
+        code = mark.encode()
+        there = end >= len(code)
+        for k, byte in enumerate(reversed(code)):
+            there &= raw[np.maximum(end - 1 - k, 0)] == byte
+        out |= there
+    return out
+
+
+def piece_ends(words: np.ndarray, last: np.ndarray, long_words: int) -> np.ndarray:
+    """Last words of the sentences and, within those of long_words words or more, of their pieces."""
     begin = np.append(0, last[:-1] + 1)
     size = last + 1 - begin
-    long = np.flatnonzero(size >= max(least_words, PIECE_WORDS))
+    long = np.flatnonzero(size >= max(long_words, PIECE_WORDS))
     if not len(long):
         return last
     # the windows of PIECE_WORDS words of each long sentence; the last of equal least hashes counts
@@ -56,7 +75,7 @@ def piece_ends(words: np.ndarray, last: np.ndarray, least_words: int) -> np.ndar
 class Cut:
     """The sentences and spans of a piece of a batch."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, least_words: int, least_sentences: int, every_run: bool = False):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, least_words: int, least_sentences: int, every_run: bool = True, stops: str = STOPS):
         start, end, first = word_spans(raw, offsets)
         self.n_rows = len(offsets) - 1
         n = len(start)
@@ -64,14 +83,14 @@ class Cut:
         lines = np.concatenate([[0], np.cumsum(raw == 0x0A)])
         stop = np.zeros(n, bool)
         if n:
-            stop = _STOP[raw[end - 1]]
+            stop = ends_with(raw, end, stops + WIDE_STOPS)
             stop[:-1] |= lines[start[1:]] > lines[end[:-1]]
             stop[first[1:][np.diff(first) > 0] - 1] = True
         #: sentences: first word, first byte, byte after (white space that follows included), row
         last = np.flatnonzero(stop)
         words = word_hashes(raw, start, end)
         if every_run and n:
-            last = piece_ends(words, last, least_words)
+            last = piece_ends(words, last, LONG_WORDS)
         self.word = np.concatenate([[0], last[:-1] + 1]) if n else np.zeros(0, np.int64)
         self.row = row[last] if n else np.zeros(0, np.int64)
         self.first = np.searchsorted(self.row, np.arange(self.n_rows + 1))
@@ -110,8 +129,9 @@ class Cut:
                 self.hash = mix64((prefix[b] - prefix[a]) * back[a] + (b - a).astype(np.uint64))
 
 
-def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS, least_sentences: int = LEAST_SENTENCES, every_run: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS, least_sentences: int = LEAST_SENTENCES, every_run: bool = True, stops: str = STOPS) -> DataFrame:
     """docs with the text cleaned, and span_sentences, span_removed (sentences), span_cuts (start:end in bytes, comma-joined)."""
+    docs = docs.drop("span_sentences", "span_removed", "span_cuts")
     bounded_batches(docs)
     key = F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("s_doc")
     narrow = docs.select(key, F.col(text_column).alias("s_text"))
@@ -119,7 +139,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     def spans(batches):
         for batch in batches:
             for piece in slices(batch, "s_text"):
-                cut = Cut(*buffers(piece.column(1)), least_words, least_sentences, every_run)
+                cut = Cut(*buffers(piece.column(1)), least_words, least_sentences, every_run, stops)
                 ids = piece.column(0).to_numpy()[cut.row[cut.lo]]
                 # a span counts once a document here: repeats within one merge before the shuffle
                 h = cut.hash.view(np.int64)
@@ -129,7 +149,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 order = order[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(h[order]), pa.array(ids[order])], names=["s_hash", "s_doc"])
 
-    each = narrow.mapInArrow(spans, "s_hash long, s_doc long")
+    each = stored(narrow.mapInArrow(spans, "s_hash long, s_doc long"), "sentence-spans")
     # partial minima and maxima merge a hot span's rows before the shuffle
     repeated = each.groupBy("s_hash").agg(F.min("s_doc").alias("s_low"), F.max("s_doc").alias("s_high")).where("s_low < s_high")
     repeated = repeated.select(F.col("s_hash").alias("r_hash"), "s_low")
@@ -145,7 +165,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             for piece in slices(batch, text_column):
                 texts, cuts, removed = [], [], []
                 raw, offsets = buffers(piece.column(k))
-                cut = Cut(raw, offsets, least_words, least_sentences, every_run)
+                cut = Cut(raw, offsets, least_words, least_sentences, every_run, stops)
                 marked = piece.column(len(fields))
                 null = piece.column(k).is_null().to_pylist()
                 for i in range(piece.num_rows):
