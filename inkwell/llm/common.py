@@ -86,10 +86,15 @@ def word_count(text: Column) -> Column:
 
 
 def bounded_batches(df: DataFrame) -> None:
-    """Have texts reach Python in small Arrow batches, so that a worker holds few of them at a time."""
+    """Have texts reach Python in small Arrow batches, so that a worker holds few of them at a time.
+
+    Spark reads these settings when the lazy result runs, so they stay set in the session; smaller values are kept.
+    """
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        now = conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
 
 
 _allocator: dict = {}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import bounded_batches, slices
+from inkwell.llm.common import bounded_batches, slices, small_side, stored
 
 SAMPLE = 2000
 BUCKETS = 1 << 15
@@ -190,7 +190,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     train = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = train.groupBy("lang").count()
     rate = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count"))
-    chosen = train.join(F.broadcast(sizes.select(F.col("lang").alias("s_lang"), rate.alias("s_rate"))), F.col("lang") == F.col("s_lang"))
+    sizes = small_side(stored(sizes.select(F.col("lang").alias("s_lang"), rate.alias("s_rate")), "language-sizes", 1))  # a row for each value of lang
+    chosen = train.join(sizes, F.col("lang") == F.col("s_lang"))
     chosen = chosen.where(F.abs(F.xxhash64("doc_id") % 1_000_003) < F.col("s_rate") * 1_000_003).select("lang", "text")
 
     def count(batches):
@@ -219,9 +220,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 def label(docs: DataFrame, model: Model, spans: bool = False, prefix: str = "") -> DataFrame:
     """docs with lang_pred, score and, if asked for, lang_spans (array of start, end, lang in code points).
 
-    A prefix keeps the new names apart from columns that docs has.
+    A prefix keeps the new names apart from columns that docs has; one of the same name is replaced.
     """
     bounded_batches(docs)
+    docs = docs.drop(f"{prefix}lang_pred", f"{prefix}score", *[f"{prefix}lang_spans"] * spans)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     k = docs.columns.index("text")
     from pyspark.sql import types as T

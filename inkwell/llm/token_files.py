@@ -107,7 +107,7 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.table = Table(2 * CACHE_WORDS)
+        self.table = Table(1 << 14)
         self.flat = np.array([END_ID], np.int32)  # entry 0 is the end of a document
         self.ends = np.array([0, 1], np.int64)
 
@@ -208,7 +208,10 @@ _ENCODED = "part int, row long, doc_id long, n_tokens long, inside long, ids arr
 
 
 def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> None:
-    """Write docs (doc_id, text) as token files under path, in ascending doc_id order."""
+    """Write docs (doc_id, text) as token files under path, in ascending doc_id order.
+
+    Rows of one doc_id, and those without, are dealt by how their texts begin besides, so they are no single task.
+    """
     spark = docs.sparkSession
     tokens = vocabulary_path(vocabulary)
 
@@ -218,7 +221,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> None:
         part, row, inside = TaskContext.get().partitionId(), 0, 0
         enc = encoder(tokens)
         for batch in batches:
-            for piece in slices(batch, "text", 2_000_000):
+            for piece in slices(batch, "text", 500_000):
                 ids, ends = enc.encode(*buffers(piece.column(1)))
                 n = np.diff(ends, prepend=0)
                 arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
@@ -230,8 +233,9 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> None:
                 inside += int(ends[-1])
 
     bounded_batches(docs)
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first())
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    place = [F.col("doc_id").asc_nulls_first(), F.col("head").asc_nulls_first()]
+    ordered = docs.select(F.col("doc_id").cast("long"), "text", F.substring("text", 1, 32).alias("head")).repartitionByRange(partitions(spark), *place)
+    ordered = ordered.sortWithinPartitions(place[0], F.col("text").asc_nulls_first()).drop("head")
     (
         ordered.mapInArrow(encode, _ENCODED).write.option("orc.compress", "ZSTD").option("orc.stripe.size", 16 << 20).option("orc.row.index.stride", 1000)
         .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01).orc(path)
@@ -242,6 +246,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_ENCODED).orc(path)
 
 
+def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """The rows of some documents (a list that the caller holds): the filter reaches the files, whose stripe and
+    row-group statistics and Bloom filters on doc_id tell which row groups to read."""
+    return read(spark, path).where(F.col("doc_id").isin([int(x) for x in doc_ids]))
+
+
 def report(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files' ids."""
 

@@ -169,7 +169,7 @@ def test_sets_sent_grow_with_the_copies(spark, monkeypatch):
 
 def test_very_long_texts_and_a_large_group_of_copies(spark):
     long = near_copies(1, 3, words=40_000, edits=20, seed=9)
-    texts = long + near_copies(2, 300, words=60, edits=1, seed=10) + ["the same line again and again"] * 200
+    texts = long + near_copies(2, 300, words=150, edits=1, seed=10) + ["the same line again and again"] * 200
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard_join.join(docs).collect()}
     assert all(got[i] == (0, 2) for i in range(3))

@@ -55,3 +55,34 @@ def test_files_round_trip(spark):
 
 def test_empty_table(spark):
     assert token_files.write_and_report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def rows_read(df):
+    """Rows that the file scan of a collected query gave."""
+    def scans(plan):
+        if plan.nodeName().startswith("Scan"):
+            yield plan
+        for k in range(plan.children().size()):
+            yield from scans(plan.children().apply(k))
+
+    return sum(p.metrics().apply("numOutputRows").value() for p in scans(df._jdf.queryExecution().executedPlan()))
+
+
+def test_lookup_skips_row_groups(spark):
+    path = fresh_path(spark, "token-lookup")
+    docs = spark.range(40_000).selectExpr("id * 3 AS doc_id", "concat('text ', id) AS text")
+    token_files.write(docs, path)
+    some = token_files.lookup(spark, path, [300, 90_000, 7])
+    assert sorted(r["doc_id"] for r in some.collect()) == [300, 90_000]
+    assert "PushedFilters: [In(doc_id" in some._jdf.queryExecution().toString()
+    assert 0 < rows_read(some) <= 4_000  # row groups of 1,000 rows
+    inside = token_files.lookup(spark, path, [301])  # between two ids: only the Bloom filters can tell
+    assert inside.collect() == [] and rows_read(inside) <= 1_000
+
+
+def test_many_rows_of_one_id_are_dealt_out(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"{i % 97} text {i}") for i in range(4000)], "doc_id long, text string")
+    path = fresh_path(spark, "token-hot")
+    token_files.write(docs, path)
+    parts = [r["count"] for r in token_files.read(spark, path).groupBy("part").count().collect()]
+    assert max(parts) < 2000
