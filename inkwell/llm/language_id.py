@@ -34,6 +34,9 @@ SMOOTHING = 0.5
 SCRIPT_SHARE = 0.01
 NOT_CANDIDATE = -1e4
 UNKNOWN = "und"
+#: Code points whose letters are scored at once, and bytes of text whose words are labelled side by side.
+PIECE_POINTS = 200_000
+SIDE_BY_SIDE = 1_000_000
 
 # First code points of script ranges and the script from there on (Unicode blocks).
 SCRIPTS = (
@@ -94,6 +97,18 @@ class Words:
         self.row_first = np.searchsorted(self.row, np.arange(len(texts) + 1))
 
 
+def _pieces(texts: list[str], most: int = PIECE_POINTS):
+    """Ranges of texts with at most so many code points in all, or one text."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        if i > lo and size + len(t) > most:
+            yield lo, i
+            lo, size = i, 0
+        size += len(t)
+    if texts:
+        yield lo, len(texts)
+
+
 class Model:
     def __init__(self, languages: list[str], counts: np.ndarray, scripts: np.ndarray):
         self.languages = languages
@@ -151,23 +166,33 @@ class Model:
 
     def label(self, texts: list[str]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """Language, score and spans (first code point, code point after, language) of each text."""
-        words = Words(texts)
         none = (UNKNOWN, 0.0, [])
-        if not self.languages or not len(words.first):
+        if not self.languages:
             return [none] * len(texts)
-        scores = self.scores(words)
-        path = self.path(scores, words.row_first)
+        # letters are scored a piece at a time; only words are held for all texts
+        row, letters, begin_at, end_at, scores = [], [], [], [], []
+        for lo, hi in _pieces(texts):
+            words = Words(texts[lo:hi])
+            row.append(words.row + lo)
+            letters.append(words.letters)
+            begin_at.append(words.place - words.begin[words.row])
+            end_at.append(words.last - words.begin[words.row])
+            scores.append(self.scores(words))
+            del words
+        if not sum(map(len, row)):
+            return [none] * len(texts)
+        row, letters, begin_at, end_at, scores = (np.concatenate(x) for x in (row, letters, begin_at, end_at, scores))
+        path = self.path(scores, np.searchsorted(row, np.arange(len(texts) + 1)))
         m, langs = len(texts), len(self.languages)
-        cover = np.bincount(words.row * langs + path, words.letters, m * langs).reshape(m, langs)
-        total = np.stack([np.bincount(words.row, scores[:, k], m) for k in range(langs)], 1)
+        cover = np.bincount(row * langs + path, letters, m * langs).reshape(m, langs)
+        total = np.stack([np.bincount(row, scores[:, k], m) for k in range(langs)], 1)
         best = np.lexsort((total, cover), axis=1)[:, -1]  # most letters, ties by likelihood
         odds = np.exp(np.minimum(total - total.max(1, keepdims=True), 0))
         odds /= odds.sum(1, keepdims=True)
-        cut = np.flatnonzero((np.diff(path, prepend=-1) != 0) | (np.diff(words.row, prepend=-1) != 0))
+        cut = np.flatnonzero((np.diff(path, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
         spans: list[list] = [[] for _ in texts]
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(path)]):
-            r = int(words.row[a])
-            spans[r].append((int(words.place[a] - words.begin[r]), int(words.last[b - 1] - words.begin[r]), self.languages[path[a]]))
+            spans[row[a]].append((int(begin_at[a]), int(end_at[b - 1]), self.languages[path[a]]))
         out = []
         for i in range(m):
             letters = cover[i].sum()
@@ -236,7 +261,7 @@ def label(docs: DataFrame, model: Model, spans: bool = False, prefix: str = "")
 
     def labelled(batches):
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", SIDE_BY_SIDE):
                 found = sent.value.label([t or "" for t in piece.column(k).to_pylist()])
                 more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
                 if spans:

@@ -59,3 +59,20 @@ def test_path_is_the_best_of_all(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert language_id.label(docs, language_id.fit(docs)).collect() == []
+
+
+def test_pieces_do_not_change_labels(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    model = language_id.Model(["a", "b"], rng.integers(0, 50, (2, language_id.BUCKETS)), np.array([[9, 1] + [0] * (len(language_id._NAMES) - 2)] * 2))
+    texts = [" ".join("".join(rng.choice(list("abcdeé")) for _ in range(5)) for _ in range(int(n))) for n in rng.integers(0, 60, 80)] + ["", "12 34"]
+    whole = model.label(texts)
+    monkeypatch.setattr(language_id._pieces, "__defaults__", (100,))
+    assert model.label(texts) == whole
+
+
+def test_clashing_columns_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "the house", "en", 9, "x", None), (2, "the house", "en", 9, "y", None), (2, "the house", "en", 9, "y", None)], "doc_id long, text string, lang string, score int, lang_pred string, s_lang string")
+    got = language_id.label(docs, language_id.fit(docs), spans=True).collect()
+    assert len(got) == 3 and len({(r["lang_pred"], r["score"]) for r in got}) == 1 and "s_lang" in got[0].__fields__
