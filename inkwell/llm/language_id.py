@@ -212,7 +212,7 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the labelled rows that are not held out (doc_id, text, lang)."""
     bounded_batches(docs)
-    train = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    train = docs.select("doc_id", "lang", "text").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = train.groupBy("lang").count()
     rate = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count"))
     sizes = small_side(stored(sizes.select(F.col("lang").alias("s_lang"), rate.alias("s_rate")), "language-sizes", 1))  # a row for each value of lang
