@@ -134,3 +134,18 @@ def picked_font(answer: Column) -> Column:
     low = F.lower(text)
     loose = F.filter(fonts, lambda f: F.lower(f).contains(low) | low.contains(F.lower(f)))
     return F.when(F.array_contains(fonts, text), text).otherwise(F.coalesce(F.get(loose, F.lit(0)), F.lit(tables.DEFAULT_FONT)))
+
+
+def json_line(value: Column) -> Column:
+    """A struct, map or array as JSON on one line, letters as they are."""
+    return F.to_json(value)
+
+
+def json_value(text: Column, kind: str) -> Column:
+    """JSON read as a type; null where it is none."""
+    return F.from_json(text, kind)
+
+
+def progress(phase: Column, current: Column, total: Column, message: Column) -> Column:
+    """A progress event as JSON."""
+    return F.to_json(F.struct(phase.alias("phase"), current.alias("current"), total.alias("total"), message.alias("message"), percent(current, total).alias("percent")))

@@ -49,3 +49,16 @@ STYLE_PRESETS = {
     "keep_honorifics": "Leave honorific suffixes as they are.", "localize": "Adapt idioms and cultural references to the reader.",
     "literal": "Stay close to the meaning, in speakable sentences.", "web_novel": "Write with the drama of serial fiction.", "action": "Write short sentences at a quick pace.",
 }
+
+# Titles and frame of the context that a prompt carries.
+CONTEXT_OPEN = "---\nCONTEXT MEMORY:\n"
+CONTEXT_NAMES = "CHARACTER NAMES (use consistently):\n"
+CONTEXT_TERMS = "KEY TERMS (translate consistently):\n"
+CONTEXT_STORY = "STORY SO FAR:\n  "
+CONTEXT_CLOSE = "---\n"
+
+# Options of a job that a form leaves out.
+DEFAULT_TARGET = "vi"
+DEFAULT_OCR = "chrome-lens"
+DEFAULT_SERVER = "http://localhost:8080"
+DEFAULT_MODEL = "gpt-4o"

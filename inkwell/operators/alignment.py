@@ -84,3 +84,32 @@ def answered(raw: DataFrame) -> DataFrame:
     rows = raw.withColumn("texts", texts)
     status = F.when(F.col("texts").isNull(), "not_json").when(F.size("texts") != F.col("n"), "wrong_length").otherwise("answer")
     return rows.select("page", F.when(status == "answer", F.col("texts")).alias("texts"), status.alias("status"))
+
+
+def answered_pages(raw: DataFrame) -> DataFrame:
+    """Model answers for several pages (batch, raw): (batch, page, texts) from a JSON object of arrays by page, null texts where it is none."""
+    found = raw.select("batch", F.from_json(exprs.unfenced(F.col("raw")), "map<string,array<string>>").alias("pages"))
+    return found.select("batch", F.explode_outer("pages").alias("page", "texts"))
+
+
+def texts_of(names: DataFrame, pages: DataFrame) -> DataFrame:
+    """The texts of each page asked for, an empty list for a page without any. names: (page); pages: (page, texts)."""
+    return names.join(pages, "page", "left").select("page", F.coalesce("texts", F.array().cast("array<string>")).alias("texts"))
+
+
+def first_of_first(boxes: DataFrame) -> DataFrame:
+    """The first detection of the first page that has any: one row, or none."""
+    return boxes.orderBy("page", "ord").limit(1)
+
+
+def totals(bubbles: DataFrame, k: int = 5) -> DataFrame:
+    """One row: how many pages and bubbles there are, the first k pages, and how many follow them."""
+    some = bubbles.select("page").distinct().orderBy("page").limit(k).agg(F.sort_array(F.collect_list("page")).alias("first_files"))
+    all_ = bubbles.agg(F.countDistinct("page").alias("images"), F.count("*").alias("bubbles"))
+    return all_.crossJoin(some).select("images", "bubbles", "first_files", (F.col("images") - F.size("first_files")).cast("long").alias("more"))
+
+
+def concatenated(tiles: DataFrame) -> DataFrame:
+    """Detections of the tiles of each page (page, tile, ord, ...) in one list a page, numbered anew in order of tile."""
+    place = Window.partitionBy("page").orderBy("tile", "ord")
+    return tiles.withColumn("ord", F.row_number().over(place) - 1).drop("tile")

@@ -62,6 +62,18 @@ def suppressed(boxes: DataFrame, limit: float = 0.5) -> DataFrame:
     return pages.select("page", "rank", "b.ord", *[f"b.{c}" for c in BOX], (-F.col("b.nc")).alias("conf"))
 
 
+def suppressed_where(boxes: DataFrame, limit: float = 0.5) -> DataFrame:
+    """Boxes (page, ord, x1..y2, conf, is_dark) with overlaps suppressed, and numbered by rank, on pages that have a flagged one; others as they are."""
+    item = F.struct((-F.col("conf")).alias("nc"), "ord", *BOX, "is_dark")
+    keep = F.aggregate(
+        "bs", F.filter("bs", lambda x: F.lit(False)),
+        lambda acc, b: F.when(F.exists(acc, lambda k: exprs.overlap(k, b) >= limit), acc).otherwise(F.concat(acc, F.array(b))),
+    )
+    flagged = F.exists("bs", lambda x: x["is_dark"] == 1)
+    pages = boxes.groupBy("page").agg(F.array_sort(F.collect_list(item)).alias("bs")).select("page", flagged.alias("flagged"), F.posexplode(F.when(flagged, keep).otherwise(F.col("bs"))).alias("rank", "b"))
+    return pages.select("page", F.when(F.col("flagged"), F.col("rank")).otherwise(F.col("b.ord")).alias("ord"), *[f"b.{c}" for c in BOX], (-F.col("b.nc")).alias("conf"), "b.is_dark")
+
+
 def gutters(rows: DataFrame, least: int = GUTTER_ROWS) -> DataFrame:
     """Runs of very light or very dark pixel rows (page, y, mean), y dense from 0: start, end (exclusive), centre."""
     flagged = rows.where((F.col("mean") > WHITE_ROW) | (F.col("mean") < BLACK_ROW))

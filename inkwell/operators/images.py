@@ -47,37 +47,72 @@ def cleaned(mask: np.ndarray) -> np.ndarray:
     return _morph(_morph(closed, False), True)
 
 
+def _runs(mask: np.ndarray, corners: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first column, column after and region of each run of set pixels in a row.
+
+    Runs of neighbouring rows that touch (with `corners` also at a corner) are of one region; regions are
+    numbered from 0 in order of their first pixel.
+    """
+    wide = np.pad(mask, ((0, 0), (1, 1))).astype(np.int8)
+    edge = np.diff(wide, axis=1)
+    row, begin = np.nonzero(edge == 1)
+    _, end = np.nonzero(edge == -1)
+    m = len(row)
+    if not m:
+        return row, begin, end, row
+    # runs of the row above that reach into this run's columns: they lie side by side
+    span, reach = mask.shape[1] + 2, int(corners)
+    low = np.searchsorted(row * span + end, (row - 1) * span + begin + 1 - reach, "left")
+    high = np.searchsorted(row * span + begin, (row - 1) * span + end - 1 + reach, "right")
+    n = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(m), n)
+    b = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    root = np.arange(m)
+    while True:  # the least number of each region spreads, along whole chains at once
+        new = root.copy()
+        both = np.minimum(root[a], root[b])
+        np.minimum.at(new, root[a], both)
+        np.minimum.at(new, root[b], both)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, root):
+            return row, begin, end, np.unique(root, return_inverse=True)[1]
+        root = new
+
+
+def _painted(shape: tuple[int, int], row: np.ndarray, begin: np.ndarray, end: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """A picture with the value of each run at its pixels, 0 elsewhere."""
+    out = np.zeros((shape[0], shape[1] + 1), np.int64)
+    out[row, begin] += value
+    out[row, end] -= value
+    return np.cumsum(out, 1)[:, :-1]
+
+
 def labelled(mask: np.ndarray) -> np.ndarray:
-    """Numbers of the 8-connected regions from 1, in order of their first pixel: least numbers spread until they rest."""
-    height, width = mask.shape
-    label = np.where(mask, np.arange(1, height * width + 1).reshape(height, width), 0)
-    while True:
-        padded = np.pad(np.where(mask, label, height * width + 1), 1, constant_values=height * width + 1)
-        near = np.minimum.reduce([padded[y : y + height, x : x + width] for y in range(3) for x in range(3)])
-        new = np.where(mask, near, 0)
-        # a region's number is that of the pixel it names: follow it, as in a forest
-        flat = np.append(0, new.ravel())
-        new = np.where(mask, np.minimum(new, flat[new]), 0)
-        if np.array_equal(new, label):
-            return np.searchsorted(np.unique(label[mask]), label) * mask + mask.astype(np.int64) if mask.any() else label
-        label = new
+    """Numbers of the 8-connected regions from 1, in order of their first pixel."""
+    row, begin, end, region = _runs(mask, True)
+    return _painted(mask.shape, row, begin, end, region + 1)
 
 
 def regions(mask: np.ndarray) -> list[dict]:
-    """Box, area and pixels of each region, without those inside the holes of others being merged."""
-    label = labelled(mask)
+    """Box, area and number of each region, without those inside the holes of others being merged."""
+    row, begin, end, region = _runs(mask, True)
+    if not len(row):
+        return []
+    by = np.argsort(region, kind="stable")
+    at = np.flatnonzero(np.diff(region[by], prepend=-1))
+    x1, x2 = np.minimum.reduceat(begin[by], at), np.maximum.reduceat(end[by], at)
+    y1, y2 = np.minimum.reduceat(row[by], at), np.maximum.reduceat(row[by], at) + 1
+    size = np.add.reduceat((end - begin)[by], at)
+    # a pixel is on the border if one beside, above or below it is not set
+    padded = np.pad(mask, 1)
+    border = mask & ~(padded[1:-1, :-2] & padded[1:-1, 2:] & padded[:-2, 1:-1] & padded[2:, 1:-1])
+    along = np.concatenate([np.zeros((mask.shape[0], 1), np.int64), np.cumsum(border, 1)], 1)
+    edge = np.bincount(region, along[row, end] - along[row, begin], len(at))
     out = []
-    for k in range(1, int(label.max(initial=0)) + 1):
-        ys, xs = np.nonzero(label == k)
-        x, y, w, h = int(xs.min()), int(ys.min()), int(np.ptp(xs)) + 1, int(np.ptp(ys)) + 1
-        if len(xs) == w * h:
-            area = float((w - 1) * (h - 1))
-        else:
-            padded = np.pad(label == k, 1)
-            inner = padded[1:-1, :-2] & padded[1:-1, 2:] & padded[:-2, 1:-1] & padded[2:, 1:-1]
-            border = int((~inner[ys, xs]).sum())
-            area = len(xs) - border / 2 - 1
-        out.append({"x": x, "y": y, "w": w, "h": h, "area": area, "label": k})
+    for k, (x, y, w, h, n) in enumerate(zip(x1.tolist(), y1.tolist(), (x2 - x1).tolist(), (y2 - y1).tolist(), size.tolist())):
+        area = float((w - 1) * (h - 1)) if n == w * h else n - float(edge[k]) / 2 - 1
+        out.append({"x": x, "y": y, "w": w, "h": h, "area": area, "label": k + 1})
     return out
 
 
@@ -130,18 +165,9 @@ def erase(image: np.ndarray, force_dark: bool = False) -> tuple[np.ndarray, bool
 def _filled(region: np.ndarray) -> np.ndarray:
     """A region with its holes: all that the outside, 4-connected, does not reach."""
     free = np.pad(~region, 1, constant_values=True)
-    outside = np.zeros_like(free)
-    outside[0, :] = outside[-1, :] = outside[:, 0] = outside[:, -1] = True
-    while True:
-        grown = outside.copy()
-        grown[1:] |= outside[:-1]
-        grown[:-1] |= outside[1:]
-        grown[:, 1:] |= outside[:, :-1]
-        grown[:, :-1] |= outside[:, 1:]
-        grown &= free
-        if np.array_equal(grown, outside):
-            return ~outside[1:-1, 1:-1]
-        outside = grown
+    row, begin, end, part = _runs(free, False)  # the run of the upper edge comes first: its region is the outside
+    outside = _painted(free.shape, row, begin, end, (part == 0).astype(np.int64))
+    return outside[1:-1, 1:-1] == 0
 
 
 def erased(crops: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import exprs, tables
+from inkwell.sources.storage import stored
 
 STOP_WORDS = tables.STOP_WORDS_JA + tables.STOP_WORDS_KO + tables.STOP_WORDS_ZH
 LEAST_LENGTH = 2
@@ -27,6 +28,9 @@ def hits(bubbles: DataFrame, *keep: str) -> DataFrame:
         exprs.capitalised(text),
         F.filter(exprs.tokens(text), lambda w: ~w.isin(STOP_WORDS)),
     ]
+    # names before an ending are looked for only where a text holds such an ending
+    for k, endings in enumerate((tables.HONORIFICS_JA, tables.HONORIFICS_KO, tables.TITLES_ZH)):
+        phases[k] = F.when(text.rlike("|".join(endings)), phases[k]).otherwise(F.array().cast("array<string>"))
     tagged = lambda k: lambda w, i: F.struct(F.lit(k).alias("phase"), i.alias("pos"), w.alias("term"))
     listed = F.flatten(F.array(*[F.transform(p, tagged(k)) for k, p in enumerate(phases)]))
     rows = bubbles.where("text is not null and text <> ''").select("page", "bubble", *keep, F.explode(listed).alias("h"))
@@ -74,10 +78,10 @@ def context_prompt(ranked: DataFrame, story: DataFrame, known: DataFrame, names:
     all_ = people.crossJoin(terms).crossJoin(story)  # three tables of one row
     part = lambda title, body: F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit(title), body)).otherwise("")
     body = F.concat(
-        part("CHARACTER NAMES (use consistently):\n", F.col("people")), part("KEY TERMS (translate consistently):\n", F.col("terms")),
-        part("STORY SO FAR:\n  ", F.when(F.col("summary") != "", F.concat("summary", F.lit("\n")))),
+        part(tables.CONTEXT_NAMES, F.col("people")), part(tables.CONTEXT_TERMS, F.col("terms")),
+        part(tables.CONTEXT_STORY, F.when(F.col("summary") != "", F.concat("summary", F.lit("\n")))),
     )
-    return all_.select(F.when(body == "", "").otherwise(F.concat(F.lit("---\nCONTEXT MEMORY:\n"), body, F.lit("---\n"))).alias("prompt"))
+    return all_.select(F.when(body == "", "").otherwise(F.concat(F.lit(tables.CONTEXT_OPEN), body, F.lit(tables.CONTEXT_CLOSE))).alias("prompt"))
 
 
 def extracted(answers: DataFrame) -> DataFrame:
@@ -90,32 +94,71 @@ def extracted(answers: DataFrame) -> DataFrame:
     return rows.groupBy("id", "term").agg(F.max_by("translated", "pos").alias("translated"))
 
 
+def counted_hits(originals: DataFrame, translations: DataFrame) -> DataFrame:
+    """hits of the texts that may teach terms: those of pages whose two sides (page, texts) are of equal length, with both texts there."""
+    from inkwell.operators.alignment import pairs_for_terms
+
+    return hits(pairs_for_terms(originals, translations))
+
+
 def batches(pages: DataFrame, size: int = 10) -> DataFrame:
     """pages with their number among pages that have text, and their batch. pages: one row a page.
 
-    The numbers come from counts of ranges, so no task sees all pages.
+    The numbers come from counts of ranges, so no task sees all pages. The ranges are written once: each
+    use of an exchange by range would draw its own bounds.
     """
     spark = pages.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = pages.repartitionByRange(n, "page").withColumn("_part", F.spark_partition_id())
+    ranged = stored(pages.repartitionByRange(n, "page").withColumn("_part", F.spark_partition_id()), "page-ranges")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
     number = F.col("_ahead") + F.row_number().over(Window.partitionBy("_part").orderBy("page")) - 1
-    placed = ranged.join(ahead, F.col("_part") == F.col("_p")).withColumn("number", number)
+    placed = ranged.join(F.broadcast(ahead), F.col("_part") == F.col("_p")).withColumn("number", number)  # a row for each partition
     return placed.withColumn("batch", F.floor(F.col("number") / size)).drop("_part", "_p", "_ahead")
 
 
-def state_before(seen: DataFrame, all_batches: DataFrame) -> DataFrame:
-    """What each batch's prompt may use: (batch, term, n) over all earlier batches, numbered from 0. seen has a column batch.
+def carried(seen: DataFrame) -> DataFrame:
+    """What each batch's prompt may use, as stretches: (term, n, from_batch, until_batch). seen has a column batch.
 
-    A term's count stands from one batch that holds it to the next, so each row of the result is made once, by running sums.
+    A term has the count n over all batches before, in each batch from from_batch to until_batch (null: all that follow).
+    There is one row for each batch that a term occurs in, however many batches there are.
     """
     each = seen.groupBy("batch", "term").agg(F.count("*").alias("m"))
     by_term = Window.partitionBy("term").orderBy("batch")
-    held = each.withColumn("n", F.sum("m").over(by_term)).withColumn("next", F.lead("batch").over(by_term))
-    last = all_batches.agg(F.max("batch").alias("last"))  # one row
-    until = held.crossJoin(F.broadcast(last)).withColumn("until", F.coalesce("next", "last")).where("batch < until")
-    return until.select(F.explode(F.sequence(F.col("batch") + 1, F.col("until"))).alias("batch"), "term", "n")
+    return each.select("term", F.sum("m").over(by_term).alias("n"), (F.col("batch") + 1).alias("from_batch"), F.lead("batch").over(by_term).alias("until_batch"))
+
+
+def state_before(stretches: DataFrame, batches_: DataFrame) -> DataFrame:
+    """(batch, term, n) of the batches asked for (a table of few batches), from the stretches that `carried` gives."""
+    asked = F.broadcast(batches_.select("batch").distinct())
+    held = (F.col("from_batch") <= F.col("batch")) & (F.col("until_batch").isNull() | (F.col("batch") <= F.col("until_batch")))
+    return stretches.join(asked, held).select("batch", "term", "n")
+
+
+def batch_contexts(stretches: DataFrame, batches_: DataFrame, k: int = 20, shown: int = 15) -> DataFrame:
+    """(batch, prompt) of the batches asked for: the terms that the batches before had, the most frequent first."""
+    rank = F.struct((-F.col("n")).alias("minus_n"), "term")
+    best = F.slice(F.array_sort(F.collect_list(rank)), 1, k)
+    listed = F.slice(F.filter(best, lambda x: x["minus_n"] <= -2), 1, shown)
+    lines = F.array_join(F.transform(listed, lambda x: F.concat(F.lit("  "), x["term"], F.lit(" (×"), (-x["minus_n"]).cast("string"), F.lit(")\n"))), "")
+    # only terms that can be among the first k of a batch are gathered: at most k rows a batch
+    place = F.row_number().over(Window.partitionBy("batch").orderBy(F.col("n").desc(), "term"))
+    few = state_before(stretches, batches_).withColumn("place", place).where(F.col("place") <= k)
+    made = few.groupBy("batch").agg(lines.alias("body"))
+    text = F.when(F.coalesce("body", F.lit("")) == "", "").otherwise(F.concat(F.lit(tables.CONTEXT_OPEN + tables.CONTEXT_TERMS), "body", F.lit(tables.CONTEXT_CLOSE)))
+    return batches_.select("batch").distinct().join(made, "batch", "left").select("batch", text.alias("prompt"))
+
+
+def recent_before(pages: DataFrame, k: int = 5) -> DataFrame:
+    """The rolling view of each batch: the last k pages up to its end, oldest first, as records (page, original, translated).
+
+    pages: (batch, number, page, original, translated) with number dense in page order; a batch of the result gathers k rows.
+    """
+    ends = pages.groupBy("batch").agg(F.max("number").alias("end"))
+    wanted = ends.select(F.col("batch").alias("view"), F.explode(F.sequence(F.greatest(F.col("end") - k + 1, F.lit(0)), F.col("end"))).alias("number"))
+    record = F.struct("number", "page", "original", "translated")
+    views = wanted.join(pages.drop("batch"), "number").groupBy(F.col("view").alias("batch")).agg(F.array_sort(F.collect_list(record)).alias("records"))
+    return views.select("batch", F.transform("records", lambda x: F.struct(x["page"].alias("page"), x["original"].alias("original"), x["translated"].alias("translated"))).alias("recent"))
 
 
 def session_stats(seen: DataFrame, pages: DataFrame, story: DataFrame, known: int = 0, names: int = 0) -> DataFrame:

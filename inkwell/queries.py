@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import exprs, tables
 from inkwell.functions.exprs import SPACE
-from inkwell.operators import alignment, geometry, layout, terms
+from inkwell.operators import alignment, geometry, images, layout, terms
+from inkwell.sources import archives
 
 # Inline texts in the scripts that the tables do not have: (page, bubble, text).
 SCRIPTS = (
@@ -146,12 +147,49 @@ def page_batches(spark, sf_dir):
     return _batches(spark, sf_dir).select("page", F.col("number").cast("long").alias("number"), "batch")
 
 
-@query(f"""WITH {TALK}, bubbles AS (SELECT * FROM talk), {HITS}, {_BATCHES}, each AS (SELECT batch, term, count(*) AS n FROM seen JOIN numbered USING (page) GROUP BY ALL)
-SELECT b.batch, term, sum(n)::BIGINT AS n FROM (SELECT DISTINCT batch FROM numbered) b JOIN each e ON e.batch < b.batch GROUP BY ALL""")
-def carried_terms(spark, sf_dir):
+@query("WITH n AS (SELECT doc_id AS page, text, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM documents) SELECT *, (number // 10)::BIGINT AS batch FROM n")
+def document_batches(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), "text")
+    return terms.batches(docs).select("page", "text", F.col("number").cast("long").alias("number"), "batch")
+
+
+_CARRIED = f"""{TALK}, bubbles AS (SELECT * FROM talk), {HITS}, {_BATCHES}, each AS (SELECT batch, term, count(*) AS m FROM seen JOIN numbered USING (page) GROUP BY ALL),
+carried AS (SELECT term, sum(m) OVER w ::BIGINT AS n, batch + 1 AS from_batch, lead(batch) OVER w AS until_batch FROM each WINDOW w AS (PARTITION BY term ORDER BY batch))"""
+
+
+def _carried(spark, sf_dir):
     numbered = _batches(spark, sf_dir).select("page", "batch")
     seen = terms.hits(_talk(spark, sf_dir).join(numbered, "page"), "batch")
-    return terms.state_before(seen, numbered.select("batch").distinct())
+    return terms.carried(seen), numbered
+
+
+@query(f"WITH {_CARRIED} SELECT * FROM carried")
+def carried_terms(spark, sf_dir):
+    return _carried(spark, sf_dir)[0]
+
+
+@query(f"""WITH {_CARRIED}, b AS (SELECT DISTINCT batch FROM numbered ORDER BY batch DESC LIMIT 3)
+SELECT b.batch, e.term, sum(m)::BIGINT AS n FROM b JOIN each e ON e.batch < b.batch GROUP BY ALL""")
+def state_of_last_batches(spark, sf_dir):
+    stretches, numbered = _carried(spark, sf_dir)
+    return terms.state_before(stretches, numbered.select("batch").distinct().orderBy(F.col("batch").desc()).limit(3))
+
+
+@query(f"""WITH {_CARRIED}, b AS (SELECT DISTINCT batch FROM numbered ORDER BY batch DESC LIMIT 3),
+s AS (SELECT b.batch, e.term, sum(m)::BIGINT AS n FROM b JOIN each e ON e.batch < b.batch GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY n DESC, term) AS k FROM s),
+x AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY k) AS j FROM r WHERE k <= 20 AND n >= 2),
+lines AS (SELECT batch, string_agg('  ' || term || ' (×' || n || ')' || chr(10), '' ORDER BY j) AS body FROM x WHERE j <= 15 GROUP BY 1)
+SELECT batch, coalesce('---' || chr(10) || 'CONTEXT MEMORY:' || chr(10) || 'KEY TERMS (translate consistently):' || chr(10) || body || '---' || chr(10), '') AS prompt FROM b LEFT JOIN lines USING (batch)""")
+def batch_contexts(spark, sf_dir):
+    stretches, numbered = _carried(spark, sf_dir)
+    return terms.batch_contexts(stretches, numbered.select("batch").distinct().orderBy(F.col("batch").desc()).limit(3))
+
+
+@query(f"""WITH {TALK}, {_BATCHES}, pages_ AS (SELECT page, list(text ORDER BY bubble) AS original FROM talk GROUP BY 1), p AS (SELECT * FROM pages_ JOIN numbered USING (page)), ends AS (SELECT batch, max(number) AS e FROM numbered GROUP BY 1)
+SELECT ends.batch, list({{'page': p.page, 'original': p.original, 'translated': p.original}} ORDER BY p.number) AS recent FROM ends JOIN p ON p.number BETWEEN ends.e - 4 AND ends.e GROUP BY 1""")
+def recent_of_batches(spark, sf_dir):
+    pages = alignment.page_texts(_talk(spark, sf_dir)).join(_batches(spark, sf_dir), "page")
+    return terms.recent_before(pages.select("batch", F.col("number").cast("long").alias("number"), "page", F.col("texts").alias("original"), F.col("texts").alias("translated")))
 
 
 _RAW = r"""answers AS (SELECT conv_id AS id, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1),
@@ -166,7 +204,7 @@ def extracted_terms(spark, sf_dir):
     return terms.extracted(raw.select(F.col("page").alias("id"), F.concat("body", F.lit("\n[TERMS]\n"), lines, F.lit("\n[/TERMS]\n[TERMS]x → y[/TERMS]")).alias("raw")))
 
 
-# alignment: the stub translator puts texts in brackets; pages with page % 5 = 0 get no answer, page % 5 = 1 one text too few, page % 5 = 2 one too many
+# alignment: the stub translator puts texts in brackets; pages with page % 5 = 0 get an answer that is no JSON, so none; page % 5 = 1 one text too few, page % 5 = 2 one too many
 
 
 def _answers(spark, sf_dir):
@@ -181,9 +219,10 @@ given_pages AS (SELECT DISTINCT page, size FROM numbered WHERE page % 5 <> 0), e
 answers AS (SELECT * FROM given UNION ALL SELECT * FROM extra)"""
 
 
-@query(f"WITH {_ANSWERS} SELECT t.page, t.bubble, t.text, a.answer AS translated FROM talk t JOIN answers a ON a.page = t.page AND a.slot = t.bubble")
+@query(f"WITH {TALK} SELECT page, bubble, text, '<' || text || '>' AS translated FROM talk")
 def paired_bubbles(spark, sf_dir):
-    return alignment.paired(_talk(spark, sf_dir), _answers(spark, sf_dir)).select("page", "bubble", "text", "translated")
+    answers = alignment.page_texts(_talk(spark, sf_dir)).withColumn("texts", F.concat(F.transform("texts", _stub), F.array(F.lit("EXTRA"))))
+    return alignment.paired(_talk(spark, sf_dir), answers).select("page", "bubble", "text", "translated")
 
 
 _STATUS = "CASE WHEN p.page IS NULL THEN 'fallback' WHEN a.answer IS NULL THEN 'missing' ELSE 'answer' END AS status"
@@ -205,10 +244,37 @@ def refused_lengths(spark, sf_dir):
     return alignment.strict(_talk(spark, sf_dir), _answers(spark, sf_dir))
 
 
-@query(f"""WITH {_ANSWERS}, good AS (SELECT page FROM given_pages WHERE page % 5 NOT IN (1, 2))
-SELECT n.page, n.slot::INT AS bubble, n.text, '<' || n.text || '>' AS translated FROM numbered n JOIN good USING (page) WHERE n.text <> ''""")
+_BOTH = f"""{TALK}, numbered AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY bubble) - 1 AS slot, count(*) OVER (PARTITION BY page) AS size FROM talk)"""
+
+
+def _both(spark, sf_dir):
+    """Texts of all pages and their translations; every seventh bubble's is empty."""
+    own = alignment.page_texts(_talk(spark, sf_dir))
+    return own, own.withColumn("texts", F.transform("texts", lambda t, i: F.when(i % 7 == 6, "").otherwise(_stub(t))))
+
+
+@query(f"WITH {_BOTH} SELECT page, slot::INT AS bubble, text, '<' || text || '>' AS translated FROM numbered WHERE text <> '' AND slot % 7 <> 6")
 def term_pairs(spark, sf_dir):
-    return alignment.pairs_for_terms(alignment.page_texts(_talk(spark, sf_dir)), _answers(spark, sf_dir))
+    return alignment.pairs_for_terms(*_both(spark, sf_dir))
+
+
+@query(f"WITH {_BOTH}, bubbles AS (SELECT page, slot AS bubble, text FROM numbered WHERE slot % 7 <> 6), {HITS} SELECT term, n FROM counted")
+def counted_terms(spark, sf_dir):
+    return terms.counts(terms.counted_hits(*_both(spark, sf_dir))).select("term", "n")
+
+
+@query("SELECT p_partkey AS page, coalesce(t.texts, []) AS texts FROM part LEFT JOIN (SELECT conv_id AS page, list(text ORDER BY turn) AS texts FROM conversations GROUP BY 1) t ON t.page = p_partkey")
+def texts_of_pages(spark, sf_dir):
+    names = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"))
+    return alignment.texts_of(names, alignment.page_texts(_talk(spark, sf_dir)))
+
+
+@query("SELECT o_orderkey AS batch, CASE WHEN o_orderkey % 3 < 2 THEN 'p' || o_orderkey END AS page, CASE WHEN o_orderkey % 3 < 2 THEN ['a' || o_orderkey, 'b'] END AS texts FROM orders")
+def parsed_page_answers(spark, sf_dir):
+    k = F.col("o_orderkey")
+    body = F.concat(F.lit('{"p'), k.cast("string"), F.lit('": ["a'), k.cast("string"), F.lit('", "b"]}'))
+    raw = F.when(k % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k % 3 == 1, body).otherwise("no object")
+    return alignment.answered_pages(_table(spark, sf_dir, "orders").select(k.alias("batch"), raw.alias("raw")))
 
 
 _LINES = r"lines AS (SELECT doc_id AS page, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS bubble FROM documents)"
@@ -259,7 +325,7 @@ def parsed_answers(spark, sf_dir):
 @query("SELECT event_id, event_type, (json_extract_string(props, '$.k'))::INT AS k, '{\"type\":\"' || event_type || '\",\"user\":' || user_id || '}' AS line FROM events")
 def json_round_trip(spark, sf_dir):
     e = _table(spark, sf_dir, "events")
-    return e.select("event_id", "event_type", F.from_json("props", "k int")["k"].alias("k"), F.to_json(F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("user"))).alias("line"))
+    return e.select("event_id", "event_type", exprs.json_value(F.col("props"), "k int")["k"].alias("k"), exprs.json_line(F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("user"))).alias("line"))
 
 
 # geometry: boxes from lineitem, page sizes from orders, row profiles from events
@@ -312,11 +378,11 @@ def dark_regions(spark, sf_dir):
     return geometry.dark_boxes(cand).withColumn("conf", F.round("conf", 6))
 
 
-@query(f"""WITH {_BOXES}, u AS (SELECT *, 0 AS is_dark FROM boxes WHERE ord % 2 = 0 UNION ALL SELECT *, 1 FROM boxes WHERE ord % 3 = 1)
+@query(f"""WITH {_BOXES}, u AS (SELECT *, (ord % 2)::INT AS is_dark FROM boxes)
 SELECT page, row_number() OVER (PARTITION BY page ORDER BY is_dark, ord) - 1 AS ord, x1, y1 + 100 AS y1, x2, y2 + 100 AS y2, conf, is_dark FROM u""")
 def merged_detections(spark, sf_dir):
     b = _boxes(spark, sf_dir)
-    both = geometry.merged(b.where("ord % 2 = 0"), b.where("ord % 3 = 1"))
+    both = geometry.merged(b.where("ord % 2 = 0"), b.where("ord % 2 = 1"))  # each box is of one of two detectors
     return geometry.shifted(both.withColumn("y_start", F.lit(100))).withColumn("ord", F.col("ord").cast("long"))
 
 
@@ -387,17 +453,47 @@ def page_flags(spark, sf_dir):
     return _pages(spark, sf_dir).select("page", F.round(exprs.ratio(h, w), 6).alias("aspect"), geometry.is_long(w, h).alias("is_long"), (h > (w * geometry.SPLIT_RATIO).cast("int")).alias("is_split"), dark.alias("is_dark"), geometry.ink(dark).alias("ink"))
 
 
-@query("SELECT event_type AS page, (event_id % 40)::INT AS y, round(avg(event_id % 256), 6) AS mean FROM events GROUP BY ALL")
+# pictures of 44 x 34 pixels with a dark box each, from part; those of odd keys are inverted where a query says so
+
+_PICTURES = """pictures AS (SELECT p_partkey AS page, (4 + p_partkey % 9)::INT AS x, (3 + p_partkey % 7)::INT AS y, (10 + p_partkey % 18)::INT AS w, (8 + p_partkey % 15)::INT AS h, p_partkey % 40 AS ink FROM part)"""
+
+
+def _pictures(spark, sf_dir, inverted: bool = False):
+    """Image rows whose bytes are made of JVM expressions: three bytes a pixel, all alike."""
+    k = F.col("p_partkey")
+    rows = _table(spark, sf_dir, "part").select(k.alias("page"), (4 + k % 9).cast("int").alias("x"), (3 + k % 7).cast("int").alias("y"), (10 + k % 18).cast("int").alias("w"), (8 + k % 15).cast("int").alias("h"), (k % 40).alias("ink"))
+    light = F.when(F.lit(inverted) & (F.col("page") % 2 == 1), F.lit("14")).otherwise(F.lit("FF"))
+    ink = F.when(F.lit(inverted) & (F.col("page") % 2 == 1), F.lit("FF")).otherwise(F.lpad(F.hex("ink"), 2, "0"))
+    blank = F.repeat(light, F.lit(44 * 3))
+    line = F.concat(F.repeat(light, F.col("x") * 3), F.repeat(ink, F.col("w") * 3), F.repeat(light, (44 - F.col("x") - F.col("w")) * 3))
+    body = F.concat(F.repeat(blank, F.col("y")), F.repeat(line, F.col("h")), F.repeat(blank, 34 - F.col("y") - F.col("h")))
+    return rows.select("page", F.lit(34).alias("height"), F.lit(44).alias("width"), F.unhex(body).alias("data"))
+
+
+@query(f"WITH {_PICTURES}, r AS (SELECT *, unnest(range(34))::INT AS row_ FROM pictures) SELECT page, row_ AS y, round(CASE WHEN row_ >= y AND row_ < y + h THEN (w * ink + (44 - w) * 255) / 44 ELSE 255 END, 6)::DOUBLE AS mean FROM r")
 def row_means(spark, sf_dir):
-    e = _table(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("page"), (F.col("event_id") % 40).cast("int").alias("y")).agg(F.round(F.avg(F.col("event_id") % 256), 6).alias("mean"))
+    return images.row_profiles(_pictures(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
+
 
+@query(f"WITH {_PICTURES} SELECT page, 0 AS ord, x, y, w, h, ink::DOUBLE AS mean, 44 AS page_w, 34 AS page_h FROM pictures")
+def dark_candidates(spark, sf_dir):
+    return images.dark_candidates(_pictures(spark, sf_dir)).drop("area")
 
-@query("SELECT l_orderkey AS page, arg_max(l_partkey, l_quantity * 1000000 - (l_linenumber * 100000 + l_partkey % 100000)) AS largest, count(*) AS boxes FROM lineitem GROUP BY 1")
+
+@query(f"""WITH {_PICTURES}, p AS (SELECT *, page % 2 = 1 AND (w * h * 255 + (44 * 34 - w * h) * 20) / (44 * 34) < 100 AS dark FROM pictures)
+SELECT page, 0 AS bubble, dark AS is_dark, CASE WHEN page % 2 = 1 AND NOT dark THEN (44 * 34 - w * h) * 6 ELSE 0 END AS other_digits FROM p""")
 def largest_region(spark, sf_dir):
-    li = _table(spark, sf_dir, "lineitem")
-    rank = F.struct("l_quantity", -(F.col("l_linenumber") * 100000 + F.col("l_partkey") % 100000))
-    return li.groupBy(F.col("l_orderkey").alias("page")).agg(F.max_by("l_partkey", rank).alias("largest"), F.count("*").alias("boxes"))
+    crops = _pictures(spark, sf_dir, inverted=True).select("page", F.lit(0).cast("long").alias("bubble"), "height", "width", "data", F.lit(False).alias("force_dark"))
+    ground = F.when(F.col("is_dark"), "00").otherwise("FF")
+    return images.erased(crops).select("page", F.col("bubble").cast("int").alias("bubble"), "is_dark", F.length(F.replace(F.hex("data"), ground, F.lit(""))).alias("other_digits"))
+
+
+@query(f"WITH {_PICTURES} SELECT page, 0 AS bubble, h AS height, w AS width, w * h * 3 AS bytes, repeat(lpad(hex(ink), 2, '0'), (w * h * 3)::BIGINT) AS digits FROM pictures")
+def cut_out_boxes(spark, sf_dir):
+    pictures = _pictures(spark, sf_dir)
+    boxes = images.dark_candidates(pictures).select("page", "ord", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"), F.lit(1).alias("is_dark"))
+    crops = images.cut_out(pictures, boxes)
+    return crops.select("page", F.col("bubble").cast("int").alias("bubble"), "height", "width", F.octet_length("data").alias("bytes"), F.hex("data").alias("digits"))
 
 
 # layout
@@ -498,14 +594,31 @@ def text_expressions(spark, sf_dir):
 
 @query("SELECT page_id, base64(encode(html)) AS data, octet_length(encode(html)) AS bytes FROM pages")
 def encoded_pages(spark, sf_dir):
-    # Spark breaks base64 lines as MIME does; the sink's format has none
-    data = F.regexp_replace(F.base64(F.col("html").cast("binary")), r"[\r\n]", "")
-    return _table(spark, sf_dir, "pages").select("page_id", data.alias("data"), F.octet_length(F.unbase64(data)).cast("long").alias("bytes"))
+    data = archives.encoded(F.col("html").cast("binary"))
+    return _table(spark, sf_dir, "pages").select("page_id", data.alias("data")).withColumn("bytes", F.octet_length(archives.decoded(F.col("data"))).cast("long"))
+
+
+@query("""WITH n AS (SELECT page_id // 7 AS job, page_id, html, row_number() OVER (PARTITION BY page_id // 7 ORDER BY page_id) - 1 AS i FROM pages)
+SELECT job, i::INT AS i, 'out/' || CASE WHEN page_id % 3 = 0 THEN 'image_' || (i + 1) ELSE 'page' || page_id END || '_translated.jpg' AS name, md5(encode(html)) AS digest FROM n""")
+def job_archives(spark, sf_dir):
+    name = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("page"), F.col("page_id").cast("string")))
+    item = F.struct("page_id", F.struct(name.alias("name"), archives.encoded(F.col("html").cast("binary")).alias("data")).alias("image"))
+    jobs = _table(spark, sf_dir, "pages").groupBy(F.floor(F.col("page_id") / 7).alias("job")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    listed = archives.listed(jobs.select("job", exprs.json_line(F.transform("items", lambda x: x["image"])).alias("images")))
+    return archives.contents(archives.zipped(listed, folder="out/")).select("job", "i", "name", F.md5("data").alias("digest"))
+
+
+@query("SELECT turn, '{\"phase\":\"' || role || '\",\"current\":' || turn || ',\"total\":' || (turn % 5) || ',\"message\":\"page ' || conv_id || '\",\"percent\":' || trunc(turn / greatest(turn % 5, 1) * 100)::INT || '}' AS event FROM conversations")
+def progress_events(spark, sf_dir):
+    message = F.concat(F.lit("page "), F.col("conv_id").cast("string"))
+    return _table(spark, sf_dir, "conversations").select("turn", exprs.progress(F.col("role"), F.col("turn"), F.col("turn") % 5, message).alias("event"))
+
+
+@query(f"WITH {_BOXES} SELECT * FROM boxes ORDER BY page, ord LIMIT 1")
+def first_detection(spark, sf_dir):
+    return alignment.first_of_first(_boxes(spark, sf_dir))
 
 
 @query("SELECT count(DISTINCT conv_id) AS images, count(*) AS bubbles, list(first ORDER BY first)[:5] AS first_files, count(DISTINCT conv_id) - len(list(first ORDER BY first)[:5]) AS more FROM (SELECT conv_id, CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 THEN conv_id END AS first FROM conversations)".replace("list(first ORDER BY first)", "list_filter(list(first ORDER BY first), lambda x: x IS NOT NULL)"))
 def totals_and_preview(spark, sf_dir):
-    talk = _talk(spark, sf_dir)
-    some = talk.select("page").distinct().orderBy("page").limit(5).agg(F.sort_array(F.collect_list("page")).alias("first_files"))
-    all_ = talk.agg(F.countDistinct("page").alias("images"), F.count("*").alias("bubbles"))
-    return all_.crossJoin(some).select("images", "bubbles", "first_files", (F.col("images") - F.size("first_files")).cast("long").alias("more"))
+    return alignment.totals(_talk(spark, sf_dir))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import io
 import zipfile
 
@@ -38,5 +37,19 @@ def zipped(images: DataFrame, extension: str = "jpg", folder: str = "") -> DataF
     return images.groupBy("job").applyInPandas(pack, "job long, archive binary")
 
 
-def decoded(text: str) -> bytes:
-    return base64.b64decode(text)
+def decoded(text: Column) -> Column:
+    """The bytes of one base64 image, as a single download takes them."""
+    return F.unbase64(text)
+
+
+def contents(archives: DataFrame) -> DataFrame:
+    """What is in archives (job, archive): (job, i, name, data) in their order. Frames hold few archives at a time."""
+
+    def unpack(frames):
+        for frame in frames:
+            for job, archive in zip(frame["job"], frame["archive"]):
+                with zipfile.ZipFile(io.BytesIO(archive)) as z:
+                    names = z.namelist()
+                    yield pd.DataFrame({"job": job, "i": range(len(names)), "name": names, "data": [z.read(n) for n in names]})
+
+    return archives.mapInPandas(unpack, "job long, i int, name string, data binary")

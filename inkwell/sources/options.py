@@ -31,14 +31,32 @@ class JobOptions:
         return cls(
             translator=tables.TRANSLATORS.get(chosen, chosen.lower()),
             source=tables.SOURCES.get(get("selected_source_lang", "").lower(), "ja"),
-            target=tables.TARGETS.get(get("selected_language", "").lower(), "vi"),
+            target=tables.TARGETS.get(get("selected_language", "").lower(), tables.DEFAULT_TARGET),
             style=get("custom_prompt", "").strip() or tables.STYLES.get(get("selected_style", "Default").lower(), ""),
             font={"auto (match original)": "auto", "animeace": "animeace_"}.get(low, font if font.startswith("Yuki-") else low),
-            ocr=get("selected_ocr", "chrome-lens").lower(),
+            ocr=get("selected_ocr", tables.DEFAULT_OCR).lower(),
             context_memory=get("context_memory") == "on",
             black_bubbles=get("detect_black_bubbles") == "on",
             split_long=get("split_long_images") == "on",
-            server=get("copilot_server", "http://localhost:8080"),
-            model=get("copilot_model_input", "gpt-4o"),
+            server=get("copilot_server", tables.DEFAULT_SERVER),
+            model=get("copilot_model_input", tables.DEFAULT_MODEL),
             api_key=get("gemini_api_key", "").strip(),
         )
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What the environment sets for all jobs."""
+
+    secret_key: str
+    verbose: bool
+    api_key: str
+
+    @classmethod
+    def of(cls, environment: Mapping[str, str]) -> Settings:
+        get = environment.get
+        return cls(secret_key=get("SECRET_KEY", ""), verbose=get("VERBOSE_LOG", "").lower() in ("1", "true", "on", "yes"), api_key=get("GEMINI_API_KEY", ""))
+
+    def key_for(self, options: JobOptions) -> str:
+        """The key of a job, else that of the environment."""
+        return options.api_key or self.api_key

@@ -229,3 +229,265 @@ def test_running_counts_of_a_stream(spark, tmp_path):
         assert {r["term"]: r["n"] for r in spark.table("running").collect()} == {"Hanako": 6, "met": 2, "Tanaka": 2}
     finally:
         q.stop()
+
+
+def test_batches_of_many_pages_with_columns(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    pages = spark.range(120_000).selectExpr("id * 7 % 1200007 AS page", "concat('text ', id) AS text", "id AS other")
+    want = pages.selectExpr("page", "text", "other", "row_number() OVER (ORDER BY page) - 1 AS w").cache()
+    try:
+        for n in ("1", "8", "211"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            wrong = terms.batches(pages).join(want.withColumnRenamed("text", "t"), ["page", "other"]).where("number <> w OR batch <> floor(w / 10) OR text <> t")
+            assert terms.batches(pages).count() == 120_000 and wrong.isEmpty()
+            one = terms.batches(pages.select("page")).join(want, "page").where("number <> w")
+            assert one.isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def png_of(picture, colour):
+    """A PNG file of a grey (0) or RGBA (6) picture."""
+    height, width = picture.shape[:2]
+    raw = b"".join(b"\0" + picture[y].tobytes() for y in range(height))
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_grey_and_alpha_images_are_kept(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    grey, alpha = rng.integers(0, 256, (7, 5), np.uint8), rng.integers(0, 256, (6, 4, 4), np.uint8)
+    alpha[..., 3] = 255
+    (tmp_path / "g.png").write_bytes(png_of(grey, 0))
+    (tmp_path / "a.png").write_bytes(png_of(alpha, 6))
+    (tmp_path / "c.png").write_bytes(png(alpha[..., :3].copy()))
+    got = {r["name"]: np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 3) for r in read_images(spark, str(tmp_path)).collect()}
+    assert sorted(got) == ["a", "c", "g"]
+    assert np.array_equal(got["g"], np.repeat(grey[..., None], 3, 2))
+    assert np.array_equal(got["a"], alpha[..., 2::-1]) and np.array_equal(got["c"], got["a"])
+
+
+def test_an_empty_folder_has_no_images(spark, tmp_path):
+    assert read_images(spark, str(tmp_path)).collect() == []
+
+
+def flood(mask, corners):
+    label, k = np.zeros(mask.shape, int), 0
+    for y, x in zip(*np.nonzero(mask)):
+        if label[y, x]:
+            continue
+        k += 1
+        label[y, x], left = k, [(y, x)]
+        while left:
+            a, b = left.pop()
+            for i in (-1, 0, 1):
+                for j in (-1, 0, 1):
+                    c, d = a + i, b + j
+                    if (corners or not i * j) and 0 <= c < mask.shape[0] and 0 <= d < mask.shape[1] and mask[c, d] and not label[c, d]:
+                        label[c, d] = k
+                        left.append((c, d))
+    return label
+
+
+def test_regions_match_flood_fill():
+    rng = np.random.default_rng(8)
+    for _ in range(150):
+        mask = rng.random((rng.integers(1, 18), rng.integers(1, 18))) < rng.random()
+        label = flood(mask, True)
+        assert np.array_equal(images.labelled(mask), label)
+        want = []
+        for k in range(1, label.max() + 1):
+            ys, xs = np.nonzero(label == k)
+            want.append((xs.min(), ys.min(), np.ptp(xs) + 1, np.ptp(ys) + 1))
+        assert [(r["x"], r["y"], r["w"], r["h"]) for r in images.regions(mask)] == want
+        outside = flood(np.pad(~mask, 1, constant_values=True), False) == 1
+        assert np.array_equal(images._filled(mask), ~outside[1:-1, 1:-1])
+
+
+def test_colours_are_swapped():
+    p = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
+    assert images.swapped(p)[1, 2].tolist() == p[1, 2].tolist()[::-1] != p[1, 2].tolist()
+
+
+def test_long_pages_are_shown_in_parts(spark):
+    def boxer():
+        """A detector that sees dark boxes of ten rows or more."""
+        from inkwell.operators import images as im
+
+        def see(height, width, data):
+            found = im.regions(im.grey(im.pixels(height, width, data)) < 100)
+            return [(r["x"], r["y"], r["x"] + r["w"], r["y"] + r["h"], 0.9, 0) for r in found if r["h"] >= 10]
+
+        return see
+
+    plain = np.full((300, 200, 3), 128, np.uint8)
+    plain[50:90, 20:80] = 0
+    tiled = np.full((4000, 200, 3), 128, np.uint8)  # no gutters: overlapping tiles, so a box may be seen twice
+    tiled[1320:1480, 10:60] = 0
+    tiled[3900:3960, 10:60] = 0
+    cut = np.full((4000, 200, 3), 128, np.uint8)
+    cut[1500:1540] = 255
+    cut[700:800, 30:90] = 0
+    cut[2900:3000, 30:90] = 0
+    rows = [(k, *p.shape[:2], bytearray(p.tobytes())) for k, p in enumerate((plain, tiled, cut))]
+    pages = spark.createDataFrame(rows, "page long, height int, width int, data binary")
+    got = sorted((r["page"], r["y1"], r["y2"]) for r in translate.found_boxes(pages, boxer, "boxer").collect())
+    assert got == [(0, 50, 90), (1, 1320, 1480), (1, 3900, 3960), (2, 700, 800), (2, 2900, 3000)]
+
+
+def test_flags_of_a_detector_may_be_null(spark):
+    boxes = spark.createDataFrame([(0, 0, 1.0, 1.0, 9.0, 9.0, 0.5, None), (0, 1, 20.0, 1.0, 29.0, 9.0, 0.5, 1)], "page long, ord int, x1 double, y1 double, x2 double, y2 double, conf double, is_dark int")
+    pages = spark.createDataFrame([], "page long, height int, width int, data binary")
+    for dark in (False, True):
+        assert sorted((r["x1"], r["is_dark"]) for r in translate.detect(pages, boxes, dark).collect()) == [(1.0, 0), (20.0, 1)]
+
+
+class Busy:
+    def __init__(self, *errors):
+        self.errors, self.calls = list(errors), 0
+
+    def __call__(self, height, width, data):
+        self.calls += 1
+        if self.errors:
+            raise RuntimeError(self.errors.pop(0))
+        return f"{height}x{width}"
+
+
+@pytest.mark.parametrize("errors,want,waits", [((), ("2x3", None), [0.3]), (("HTTP 503",), ("2x3", None), [0.3, 3.0]), (("no",), ("", "no"), [0.3]), (("429",) * 9, ("", "429"), [0.3, 3.0, 6.0, 12.0, 24.0])])
+def test_reading_is_tried_again(errors, want, waits):
+    slept = []
+    assert providers.read_text(Busy(*errors), (2, 3, b""), sleep=slept.append, chance=lambda: 0.5) == want
+    assert slept == pytest.approx(waits)
+
+
+def test_reading_in_batches():
+    class Whole(Busy):
+        def process_batch(self, crops):
+            return [None if c[0] == 1 else "seen" for c in crops]
+
+    crops = [(1, 1, b""), (2, 2, b"")]
+    assert providers.read_texts(Whole(), crops) == [("", None), ("seen", None)]
+    assert providers.read_texts(Busy(), crops, sleep=lambda _: None) == [("1x1", None), ("2x2", None)] and providers.read_texts(Busy(), []) == []
+
+
+class Pages(Moody):
+    def __init__(self, answer, **more):
+        super().__init__([], **more)
+        self.answer, self.seen = answer, []
+
+    def translate_pages_batch(self, pages, context):
+        self.seen.append(context)
+        if isinstance(self.answer, Exception):
+            raise self.answer
+        return self.answer
+
+
+def test_ladder_of_pages():
+    pages = {"p": ["a", "b"], "q": ["c"], "r": ["d"]}
+    service = Pages({"p": ["A"], "q": ["C", "X"]})
+    assert providers.with_page_ladder(service, pages, "CONTEXT") == {"p": [("A", "pages"), ("b", "padded")], "q": [("C", "pages")], "r": [("d", "fallback")]}
+    assert service.seen == ["CONTEXT"]
+    assert providers.with_page_ladder(Pages(RuntimeError("no")), pages) == {n: [(t.upper(), "batch") for t in x] for n, x in pages.items()}
+    assert providers.with_page_ladder(Pages(["no object"], short=True), {"p": ["good", "bad"]}, sleep=lambda _: None) == {"p": [("GOOD", "single"), ("bad", "source")]}
+    assert providers.with_page_ladder(Moody([]), {"p": ["x"]}) == {"p": [("X", "batch")]}
+
+
+def test_page_batches_carry_terms(spark):
+    class Echo(providers.StubTranslator):
+        def translate_pages_batch(self, pages, context):
+            return {n: [context + t for t in x] for n, x in pages.items()}
+
+    providers.register("echo", Echo)
+    rows = [(page, b, "Hanako met Tanaka" if b else " ") for page in range(4) for b in range(2)] + [(9, 0, " ")]
+    import unittest.mock as mock
+
+    with mock.patch.dict(providers._kept, clear=True):
+        from inkwell.plans.providers import translate_page_groups
+
+        context = "---\nCONTEXT MEMORY:\nKEY TERMS (translate consistently):\n  Hanako (×4)\n---\n"
+        import pandas as pd
+
+        frame = pd.DataFrame({"batch": 1, "page": [2, 2], "bubble": [1, 0], "text": ["Hanako", None], "prompt": context})
+        got = translate_page_groups("echo", "en", wait=False)(frame)
+        assert got["translated"].tolist() == [context, context + "Hanako"] and set(got["status"]) == {"pages"}
+    done = translate.translate_pages(spark.createDataFrame(rows, "page long, bubble long, text string"), "gemini", "fr", 2, wait=False).collect()
+    assert len(done) == 9 and {(r["page"], r["status"]) for r in done} == {(p, "pages") for p in range(4)} | {(9, "blank")}
+
+
+def test_providers_are_kept_and_fall_back():
+    providers.clear_cache()
+    made = []
+    for _ in range(2):
+        providers.cached("k", lambda: made.append(1) or "v")
+    assert made == [1]
+
+    class Fonts:
+        def load(self, path, size):
+            if path == "gone":
+                raise OSError
+            return path, size
+
+        def default(self, size):
+            return "default", size
+
+    assert providers.font(Fonts(), "a", 12) == ("a", 12) and providers.font(Fonts(), "gone", 9) == ("default", 9)
+
+    class Down:
+        def models(self):
+            raise OSError
+
+        def probe(self):
+            raise OSError
+
+    assert providers.model_names(Down(), ["m"]) == ["m"] and not providers.answers(Down())
+
+
+def test_other_prompts():
+    text = providers.pages_prompt({"p1": ["一"]}, "zh", "en", "", "CONTEXT\n")
+    assert text.startswith("CONTEXT\n") and text.endswith('{\n  "p1": [\n    "一"\n  ]\n}') and "from Chinese to English" in text
+    assert providers.single_prompt("一", "ja", "en").endswith("\n一") and all(f in providers.font_prompt() for f in tables.FONTS)
+    assert "[TERMS]" in providers.extraction_prompt()
+
+
+def test_timers_and_settings():
+    from inkwell.plans.timers import Timers
+    from inkwell.sources.options import Settings
+
+    ticks = iter([0.0, 2.0, 5.0, 6.0])
+    timers = Timers(lambda: next(ticks))
+    with timers.phase("read", 4):
+        pass
+    with timers.phase("write"):
+        pass
+    assert timers.rows() == [("read", 2.0, 4, 2.0, 0.5), ("write", 1.0, 0, 0.0, None), ("total", 3.0, 4, 4 / 3, 0.75)]
+    settings = Settings.of({"VERBOSE_LOG": "1", "GEMINI_API_KEY": "k"})
+    assert settings.verbose and settings.key_for(JobOptions.of({})) == "k" and settings.key_for(JobOptions.of({"gemini_api_key": " j "})) == "j"
+
+
+def test_archives_with_a_folder(spark):
+    body = json.dumps([{"name": "x", "data": "aGk="}])
+    out = archives.zipped(archives.listed(spark.createDataFrame([(1, body)], "job long, images string")), "png", "in/")
+    assert [(r["job"], r["i"], r["name"], bytes(r["data"])) for r in archives.contents(out).collect()] == [(1, 0, "in/x_translated.png", b"hi")]
+    assert spark.createDataFrame([("aGk=",)], "t string").select(archives.decoded(F.col("t")).alias("v")).first()["v"] == b"hi"
+
+
+def test_target_languages_have_defaults(spark):
+    df = spark.createDataFrame([("xx",), ("en",)], "lang string")
+    got = [tuple(r) for r in df.select(exprs.lookup(F.col("lang"), tables.LANGUAGE_NAMES, F.lit("English")), exprs.lookup(F.col("lang"), tables.NLLB_CODES, F.lit("eng_Latn"))).collect()]
+    assert got == [("English", "eng_Latn"), ("English", "eng_Latn")]
+
+
+def test_late_rows_of_a_stream_are_dropped(spark, tmp_path):
+    schema = "page long, bubble long, text string, at timestamp"
+    folder = tmp_path / "late"
+    for k, rows in enumerate(([(1, 0, "Hanako", "2024-01-01 10:10:00")], [(2, 0, "Tanaka", "2024-01-01 15:00:00")], [(3, 0, "Hanako", "2024-01-01 10:20:00"), (4, 0, "Tanaka", "2024-01-01 15:05:00")])):
+        spark.createDataFrame(rows, "page long, bubble long, text string, at string").selectExpr("page", "bubble", "text", "CAST(at AS TIMESTAMP) AS at").coalesce(1).write.mode("append").parquet(str(folder))
+        if not k:
+            stream = spark.readStream.schema(schema).parquet(str(folder))
+            q = running_counts(stream, "at").writeStream.outputMode("update").format("memory").queryName("late").start()
+        q.processAllAvailable()
+    q.stop()
+    got = {}
+    for r in spark.table("late").collect():
+        got[r["term"], str(r["window"]["start"])] = max(r["n"], got.get((r["term"], str(r["window"]["start"])), 0))
+    assert got == {("Hanako", "2024-01-01 10:00:00"): 2, ("Tanaka", "2024-01-01 15:00:00"): 4}
