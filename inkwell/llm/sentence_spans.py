@@ -1,11 +1,11 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences: words up to one that ends in a mark of STOPS or that a line break follows.
-What repeats are runs of several consecutive sentences (two at least, of any number of words). Of equal
-runs the first (least doc_id, then first in the text) stays; every sentence that another one covers is
-removed. A run of more than two sentences is covered by the runs of two inside it, which repeat where it
-does and are first where it is at the latest; so hashing all runs of two, on their lower-cased words,
-finds just what hashing all runs would find.
+What repeats are runs of several consecutive sentences (`least_sentences` of them at least, of any number
+of words). Of equal runs the first (least doc_id, then first in the text) stays; every sentence that
+another one covers is removed. A longer run is covered by the runs of just `least_sentences` inside it,
+which repeat where it does and are first where it is at the latest; so hashing all of those, on their
+lower-cased words, finds just what hashing all runs would find.
 
 Texts without stops have sentences too: one of LONG_WORDS words or more is cut into pieces, each a
 sentence of its own, after every word whose hash is the least of PIECE_WORDS neighbours in it. Equal
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from inkwell.llm.common import bounded_batches, buffers, mix64, slices, stored, word_hashes, word_spans
 
 LEAST_WORDS = 0
-LEAST_SENTENCES = 2
+LEAST_SENTENCES = 3
 #: Sentences of so many words are cut into pieces.
 LONG_WORDS = 20
 PIECE_WORDS = 8

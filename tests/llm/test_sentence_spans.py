@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from inkwell.llm import sentence_spans
 
 CLAUSES = ".!?,;:"
@@ -59,7 +61,7 @@ def test_matches_brute_force(spark):
     rows = [(i // 2, " ".join(rng.choice([rng.choice(shared), sentence(), sentence()]) for _ in range(rng.randrange(12)))) for i in range(120)]
     rows += [(None, shared[0]), (900, None), (901, ""), (902, " \n "), (903, "word " * 20000), (904, shared[1] * 300)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).repartition(4)
-    got = sentence_spans.dedup(docs, least_words=20, every_run=False, stops=CLAUSES).collect()
+    got = sentence_spans.dedup(docs, least_words=20, least_sentences=2, every_run=False, stops=CLAUSES).collect()
     key = lambda r: tuple(map(str, r))
     assert sorted(((r["doc_id"], r["span_sentences"], r["span_removed"], r["text"]) for r in got), key=key) == sorted(brute(rows), key=key)
     assert docs.columns == got[0].__fields__[:3]
@@ -105,10 +107,10 @@ def test_every_repeated_run_is_covered(spark):
             units += rng.choice([run, run[a:], run[: a + 1], [new(4)], [new(15), new(2)]])
         rows.append((i, " ".join(units)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: r["span_removed"] for r in sentence_spans.dedup(docs, least_words=20, stops=CLAUSES).collect()}
+    got = {r["doc_id"]: r["span_removed"] for r in sentence_spans.dedup(docs, least_words=20, least_sentences=2, stops=CLAUSES).collect()}
     want = brute_runs(rows)
     assert got == want and want[1] == 3
-    assert sum(r["span_removed"] for r in sentence_spans.dedup(docs, least_words=20, every_run=False, stops=CLAUSES).collect()) < sum(want.values())  # spans by start alone miss some
+    assert sum(r["span_removed"] for r in sentence_spans.dedup(docs, least_words=20, least_sentences=2, every_run=False, stops=CLAUSES).collect()) < sum(want.values())  # spans by start alone miss some
 
 
 def test_query_covers_every_run(spark, tmp_path):
@@ -145,7 +147,8 @@ def test_copies_and_passages_without_stops_go(spark):
         assert not i or i not in want or set(text.split()) - other <= set(got[i]["text"].split())
 
 
-def test_all_runs_of_several_sentences(spark):
+@pytest.mark.parametrize("least", [2, 3, 4])
+def test_all_runs_of_several_sentences(spark, least):
     rng = random.Random(15)
     new = lambda n: " ".join("".join(rng.choice("abcde") for _ in range(8)) for _ in range(n)) + rng.choice([".", "!", ", and so.", "; it is?"])
     shared = [[new(rng.choice([1, 2, 4, 9])) for _ in range(rng.randrange(1, 9))] for _ in range(40)]
@@ -157,8 +160,8 @@ def test_all_runs_of_several_sentences(spark):
             a = rng.randrange(len(run))
             units += rng.choice([run, run[a:], run[: a + 1], [new(4)], [new(15), new(2)]])
         rows.append((i, " ".join(units)))
-    got = {r["doc_id"]: r["span_removed"] for r in sentence_spans.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
-    assert got == brute_runs(rows, 0, 2, ".!?") and sum(got.values()) > 100
+    got = {r["doc_id"]: r["span_removed"] for r in sentence_spans.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), least_sentences=least).collect()}
+    assert got == brute_runs(rows, 0, least, ".!?") and sum(got.values()) > 100
 
 
 def test_a_short_passage_goes(spark):
@@ -168,9 +171,9 @@ def test_a_short_passage_goes(spark):
 
 
 def test_stops_of_other_scripts(spark):
-    rows = [(i, f"{i}x 这是第一句。 第二句在这里！ これは三番目です？ {i}y") for i in range(2)]
+    rows = [(i, f"{i}x 这是第一句。 第二句在这里！ これは三番目です？ 最後の文です。 {i}y") for i in range(2)]
     got = {r["doc_id"]: r["span_removed"] for r in sentence_spans.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {0: 0, 1: 2}
+    assert got == {0: 0, 1: 3}
 
 
 def test_clashing_columns_repeated_rows_and_long_texts(spark):
