@@ -305,9 +305,11 @@ def links(docs: DataFrame, words: int = 4, percent: int = 85) -> tuple[DataFrame
                 n = np.fromiter(map(len, sets), np.int64, len(sets))
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(n), pa.array(class_of(sets), mask=n == 0)], names=["doc", "mark", "n", "class"])
 
-    rows = stored(narrow.mapInArrow(named, "doc long, mark long, n long, class long"), "jaccard-rows")
+    # narrow tables go to few files: each file costs its task several calls of the file system
+    files = few(spark, docs.count())
+    rows = stored(narrow.mapInArrow(named, "doc long, mark long, n long, class long").repartition(files), "jaccard-rows")
     classes = rows.where("class is not null").groupBy("class").agg(F.count("*").alias("copies"), F.min("doc").alias("low"), F.first("n").alias("n"))
-    classes = stored(classes, "jaccard-classes", few(spark, rows.count()))
+    classes = stored(classes, "jaccard-classes", files)
 
     def listed(batches):
         for batch in batches:
@@ -341,8 +343,7 @@ def links(docs: DataFrame, words: int = 4, percent: int = 85) -> tuple[DataFrame
 
     entries = narrow.select("text").where("text is not null").mapInArrow(listed, "sig long, class long")
     entries = entries.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "class")
-    member = stored(entries.mapInArrow(grouped, "leader long, class long").distinct(), "jaccard-groups")
-    files = few(spark, member.count())
+    member = stored(entries.mapInArrow(grouped, "leader long, class long").distinct(), "jaccard-groups", min(partitions(spark), 4 * files))
     # groups too large for one task are cut into parts that meet in pairs; there is one for each BLOCK_SETS sets at most
     size = member.join(classes.select(F.col("class").alias("c"), "n"), F.col("class") == F.col("c")).groupBy("leader").agg(F.sum("n").alias("total"), F.count("*").alias("sets"))
     size = size.select(F.col("leader").alias("g_leader"), F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int").alias("cuts"))
@@ -384,7 +385,7 @@ def links(docs: DataFrame, words: int = 4, percent: int = 85) -> tuple[DataFrame
         return pa.table([pa.array(c, pa.int64(), mask=none if k in (2, 3) else None) for k, c in enumerate(columns)], names=["a", "a_low", "b", "b_low", "n_links"])
 
     found = placed.groupBy("leader", "i", "j").applyInArrow(met, "a long, a_low long, b long, b_low long, n_links long")
-    return rows, classes, stored(found, "jaccard-links")
+    return rows, classes, stored(found.repartition(files), "jaccard-links")
 
 
 def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -414,8 +415,8 @@ def dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     Rows equal in doc_id and text count as one document, and one of them stays.
     """
-    found = _labelled(docs, words, percent).where("n_links > 0")
     files = few(docs.sparkSession, docs.count())
+    found = _labelled(docs, words, percent).where("n_links > 0")
     found = stored(found, "jaccard-dedup", files)
     # of rows of the least doc_id one text is chosen, so that a component keeps one document
     leads = found.where("doc = component")

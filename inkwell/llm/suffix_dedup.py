@@ -204,7 +204,12 @@ def block_spans(strings: list[bytes], doc: np.ndarray, length: int = LENGTH) ->
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc, mark, text and covered (array of start, end bytes) of each row of docs (doc_id, text)."""
+    """doc, mark, text and covered (array of start, end bytes) of each row of docs (doc_id, text).
+
+    A run has 2 * length - anchor_size(length) bytes at most, and its size is kept in a byte: longer lengths are refused.
+    """
+    if not 1 <= length or 2 * length - anchor_size(length) > 255:
+        raise ValueError("length must be from 1 to 159")
     bounded_batches(docs)
     n = partitions(docs.sparkSession)
     ranges = n * RANGES

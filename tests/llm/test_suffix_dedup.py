@@ -71,3 +71,10 @@ def test_long_text_is_cut_without_loss(monkeypatch):
 
 def test_empty_table(spark):
     assert suffix_dedup.report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_lengths_that_a_run_cannot_hold_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for length in (0, 161, 1000):
+        with pytest.raises(ValueError, match="length must be"):
+            suffix_dedup.spans(docs, length)
