@@ -163,9 +163,9 @@ def _carried(spark, sf_dir):
     return terms.carried(seen), numbered
 
 
-@query(f"WITH {_CARRIED} SELECT * FROM carried")
+@query(f"WITH {_CARRIED} SELECT * REPLACE (coalesce(until_batch, -1) AS until_batch) FROM carried")
 def carried_terms(spark, sf_dir):
-    return _carried(spark, sf_dir)[0]
+    return _carried(spark, sf_dir)[0].withColumn("until_batch", F.coalesce("until_batch", F.lit(-1)))  # -1: all that follow
 
 
 @query(f"""WITH {_CARRIED}, b AS (SELECT DISTINCT batch FROM numbered ORDER BY batch DESC LIMIT 3)
@@ -186,10 +186,11 @@ def batch_contexts(spark, sf_dir):
 
 
 @query(f"""WITH {TALK}, {_BATCHES}, pages_ AS (SELECT page, list(text ORDER BY bubble) AS original FROM talk GROUP BY 1), p AS (SELECT * FROM pages_ JOIN numbered USING (page)), ends AS (SELECT batch, max(number) AS e FROM numbered GROUP BY 1)
-SELECT ends.batch, list({{'page': p.page, 'original': p.original, 'translated': p.original}} ORDER BY p.number) AS recent FROM ends JOIN p ON p.number BETWEEN ends.e - 4 AND ends.e GROUP BY 1""")
+SELECT ends.batch, (row_number() OVER (PARTITION BY ends.batch ORDER BY p.number) - 1)::INT AS slot, p.page, p.original, p.original AS translated FROM ends JOIN p ON p.number BETWEEN ends.e - 4 AND ends.e""")
 def recent_of_batches(spark, sf_dir):
     pages = alignment.page_texts(_talk(spark, sf_dir)).join(_batches(spark, sf_dir), "page")
-    return terms.recent_before(pages.select("batch", F.col("number").cast("long").alias("number"), "page", F.col("texts").alias("original"), F.col("texts").alias("translated")))
+    views = terms.recent_before(pages.select("batch", F.col("number").cast("long").alias("number"), "page", F.col("texts").alias("original"), F.col("texts").alias("translated")))
+    return views.select("batch", F.posexplode("recent").alias("slot", "r")).select("batch", "slot", "r.page", "r.original", "r.translated")
 
 
 _RAW = r"""answers AS (SELECT conv_id AS id, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1),
