@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.sources.storage import fresh_path, shared_dir, stored
+
+__all__ = ["fresh_path", "shared_dir", "stored"]  # used by the operators as from here
+
 # White space that ends a word (the class is [^\x20\x09-\x0D]+).
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -39,30 +42,6 @@ _BYTE_MIX[~_IS_WORD] = 0
 _POS_MIX = mix64(np.arange(4096, dtype=np.uint64)) | _U(1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where none is configured."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
-    """Cut the lineage by a written table in the shared folder, of at most `files` files if that is given.
-
-    The table belongs to the query's result, which is lazy: it stays until the shared folder is cleared.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Narrow rows that one file of a table in between holds, at least.
 FILE_ROWS = 50_000
 
@@ -211,9 +190,9 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarra
 BROADCAST_ROWS = 200_000
 
 
-def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows (df should be stored: it is counted), else as it is."""
-    return F.broadcast(df) if df.count() <= most else df
+def small_side(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has at most BROADCAST_ROWS rows (df should be stored: it is counted), else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
