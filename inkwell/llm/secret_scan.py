@@ -28,6 +28,7 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_LEAST = 6
 
+#: Candidates of the randomness tests have 20 characters or more: of fewer, the tests tell too little.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 #: Alphabets of the inferred encodings, the smallest first.
 ALPHABETS = (

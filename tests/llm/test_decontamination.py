@@ -97,3 +97,32 @@ def test_every_edited_or_partial_copy_is_found(spark, threshold, parts):
     frame = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string").repartition(3)
     got = dc.leaks(frame, spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string"), threshold).collect()
     assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == want
+
+
+def test_leaks_equal_exhaustive_alignment(spark):
+    """No misses: a pair leaks just if its best alignment over the whole text reaches the threshold and both share a seed."""
+    rng = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(500)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, words(rng.randrange(6, 40))) for i in range(25)]
+    items += [(100 + i, items[i][1]) for i in range(3)]  # equal items under other ids
+    docs = []
+    for i in range(160):
+        text = words(rng.randrange(60))
+        if i % 4:
+            copy = list(rng.choice(items)[1])
+            for _ in range(rng.randrange(len(copy) // 2)):  # edited a little or past recognition
+                k = rng.randrange(len(copy))
+                copy[k : k + rng.randrange(2)] = [f"e{rng.randrange(10**6)}"] * rng.randrange(2)
+            copy = copy[: rng.randrange(len(copy) // 3, len(copy) + 1)]
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = copy
+        docs.append((i, text))
+    docs += [docs[5], docs[6]]  # repeated rows are judged row by row
+    grams = lambda w: {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+    number = {}
+    code = lambda w: np.array([number.setdefault(x, len(number)) for x in w], np.int64)
+    want = sorted((d, i) for d, text in docs for i, item in items if grams(text) & grams(item) and dc.align(code(text), code(item))[0] >= 0.5 * 2 * len(item))
+    frame = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string").repartition(3)
+    got = dc.leaks(frame, spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == want and len(want) > 60
