@@ -65,6 +65,50 @@ QUERIES = {
     "op10_source_mix": op10_source_mix,
 }
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, list_sort(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                                ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END) AS shingles FROM w
+), c AS (
+  SELECT shingles, len(shingles) AS n, count(*) AS copies, min(doc_id) AS low, row_number() OVER (ORDER BY min(doc_id)) AS class
+  FROM s WHERE len(shingles) > 0 GROUP BY shingles
+), e AS (SELECT class, n, unnest(shingles) AS shingle FROM c
+), common AS (
+  SELECT a.class AS a, b.class AS b, any_value(a.n) AS a_n, any_value(b.n) AS b_n, count(*) AS shared
+  FROM e a JOIN e b ON a.shingle = b.shingle AND a.class <> b.class AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2
+), link AS (SELECT a, b FROM common WHERE 100 * shared >= 85 * (a_n + b_n - shared)
+), reach(a, b) AS (SELECT class, class FROM c UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), component AS (SELECT r.a AS class, min(low) AS component FROM reach r JOIN c ON r.b = c.class GROUP BY r.a
+), far AS (SELECT a AS class, sum(copies) AS others FROM link JOIN c ON link.b = c.class GROUP BY a
+)
+SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, coalesce(component, s.doc_id) AS component_id,
+       coalesce(copies - 1 + coalesce(others, 0), 0)::BIGINT AS n_links
+FROM s LEFT JOIN c ON s.shingles = c.shingles LEFT JOIN component USING (class) LEFT JOIN far USING (class)
+"""
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(doc_id, 9223372036854775807) AS doc, hex(encode(coalesce(text, ''))) AS data FROM documents
+), n AS (SELECT *, length(data) // 2 AS n_bytes FROM d
+), p AS (SELECT k, doc, data, unnest(range(0, n_bytes - 49)) AS place FROM n
+), strings AS (SELECT k, doc, place, substr(data, 2 * place + 1, 100) AS string FROM p
+), least AS (SELECT string, min(doc) AS first FROM strings GROUP BY string HAVING count(*) > 1
+), gone AS (SELECT k, place FROM strings JOIN least USING (string) WHERE doc > first
+), marked AS (SELECT k, place, CASE WHEN place <= lag(place) OVER (PARTITION BY k ORDER BY place) + 50 THEN 0 ELSE 1 END AS new FROM gone
+), numbered AS (SELECT k, place, sum(new) OVER (PARTITION BY k ORDER BY place) AS run FROM marked
+), runs AS (SELECT k, run, min(place) AS start, max(place) + 50 AS stop FROM numbered GROUP BY k, run
+), totals AS (SELECT k, sum(stop - start) AS removed, count(*) AS n_spans FROM runs GROUP BY k
+), pieces AS (
+  SELECT k, coalesce(lag(stop) OVER (PARTITION BY k ORDER BY start), 0) AS start, start AS stop FROM runs
+  UNION ALL SELECT n.k, coalesce(max(stop), 0), any_value(n_bytes) FROM n LEFT JOIN runs ON n.k = runs.k GROUP BY n.k
+), kept AS (SELECT k, string_agg(substr(data, 2 * start + 1, 2 * (stop - start)), '' ORDER BY start, stop) AS data FROM pieces JOIN n USING (k) GROUP BY k
+)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept.data)) AS kept_sha256
+FROM n JOIN kept USING (k) LEFT JOIN totals USING (k)
+"""
+
 OP9_SQL = r"""
 WITH r AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -106,4 +150,4 @@ SELECT doc_id, size, source_size, target,
 FROM c
 """
 
-ORACLES = {"op9_url_filters": OP9_SQL, "op10_source_mix": OP10_SQL}
+ORACLES = {"op1_jaccard_join": OP1_SQL, "op6_suffix_dedup": OP6_SQL, "op9_url_filters": OP9_SQL, "op10_source_mix": OP10_SQL}
