@@ -34,9 +34,12 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import bounded_batches, buffers, components, few, give_back, mix64, partitions, shingle_sets, slices, small_side, stored
 
 LAST = (1 << 63) - 1
-#: Shingles and sets in one part of a group, about; larger groups are cut.
+#: Shingles and sets in one part of a group, about; larger groups are cut. Up to PARTS parts are made for PART_SETS sets each,
+#: which spreads a large group over more tasks; beyond, a part grows to BLOCK_SETS first, as a set is sent once for each part.
 BLOCK_SHINGLES = 1_000_000
 BLOCK_SETS = 4096
+PART_SETS = 512
+PARTS = 16
 #: Neighbouring sets in a block of the index lists inside a group and in each of its bounds, and position segments of the hash range.
 LIST_SETS = 64
 BOUND_SETS = 16
@@ -344,9 +347,9 @@ def links(docs: DataFrame, words: int = 4, percent: int = 85) -> tuple[DataFrame
     entries = narrow.select("text").where("text is not null").mapInArrow(listed, "sig long, class long")
     entries = entries.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "class")
     member = stored(entries.mapInArrow(grouped, "leader long, class long").distinct(), "jaccard-groups", min(partitions(spark), 4 * files))
-    # groups too large for one task are cut into parts that meet in pairs; there is one for each BLOCK_SETS sets at most
+    # groups too large for one task are cut into parts that meet in pairs
     size = member.join(classes.select(F.col("class").alias("c"), "n"), F.col("class") == F.col("c")).groupBy("leader").agg(F.sum("n").alias("total"), F.count("*").alias("sets"))
-    size = size.select(F.col("leader").alias("g_leader"), F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int").alias("cuts"))
+    size = size.select(F.col("leader").alias("g_leader"), F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("sets") / BLOCK_SETS), F.least(F.ceil(F.col("sets") / PART_SETS), F.lit(PARTS))).cast("int").alias("cuts"))
     large = small_side(stored(size.where("cuts > 1"), "jaccard-large-groups", files))
     placed = member.join(large, F.col("leader") == F.col("g_leader"), "left").withColumn("cuts", F.coalesce("cuts", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("class"), F.col("cuts")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct("leader", "block", F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))

@@ -53,9 +53,10 @@ def corpus(seed, n=260):
     return rows + [(2000, None), (2001, ""), (2002, " \n"), (None, out[0]), (None, "all alone here"), (ids[3], out[5]), (ids[4], out[4]), (3000, "long " * 30000)]
 
 
-@pytest.mark.parametrize("words,percent,block", [(4, 85, 400_000), (5, 80, 400_000), (4, 85, 700)])
-def test_join_matches_brute_force(spark, monkeypatch, words, percent, block):
+@pytest.mark.parametrize("words,percent,block,part", [(4, 85, 400_000, 512), (5, 80, 400_000, 512), (4, 85, 700, 512), (4, 85, 400_000, 3)])
+def test_join_matches_brute_force(spark, monkeypatch, words, percent, block, part):
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(jaccard_join, "PART_SETS", part)
     rows = corpus(words * block % 97)
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, class string").repartition(5)
     key = lambda r: tuple(map(str, r))
