@@ -459,10 +459,15 @@ def page_flags(spark, sf_dir):
 _PICTURES = """pictures AS (SELECT p_partkey AS page, (4 + p_partkey % 9)::INT AS x, (3 + p_partkey % 7)::INT AS y, (10 + p_partkey % 18)::INT AS w, (8 + p_partkey % 15)::INT AS h, p_partkey % 40 AS ink FROM part)"""
 
 
-def _pictures(spark, sf_dir, inverted: bool = False):
-    """Image rows whose bytes are made of JVM expressions: three bytes a pixel, all alike."""
+def _pictures(spark, sf_dir, inverted: bool = False, dealt: bool = False):
+    """Image rows whose bytes are made of JVM expressions: three bytes a pixel, all alike.
+
+    Dealt, the rows go to partitions by page before they get their bytes, so a join by page moves no picture.
+    """
     k = F.col("p_partkey")
     rows = _table(spark, sf_dir, "part").select(k.alias("page"), (4 + k % 9).cast("int").alias("x"), (3 + k % 7).cast("int").alias("y"), (10 + k % 18).cast("int").alias("w"), (8 + k % 15).cast("int").alias("h"), (k % 40).alias("ink"))
+    if dealt:
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page")
     light = F.when(F.lit(inverted) & (F.col("page") % 2 == 1), F.lit("14")).otherwise(F.lit("FF"))
     ink = F.when(F.lit(inverted) & (F.col("page") % 2 == 1), F.lit("FF")).otherwise(F.lpad(F.hex("ink"), 2, "0"))
     blank = F.repeat(light, F.lit(44 * 3))
@@ -491,7 +496,7 @@ def largest_region(spark, sf_dir):
 
 @query(f"WITH {_PICTURES} SELECT page, 0 AS bubble, h AS height, w AS width, w * h * 3 AS bytes, repeat(lpad(hex(ink), 2, '0'), (w * h * 3)::BIGINT) AS digits FROM pictures")
 def cut_out_boxes(spark, sf_dir):
-    pictures = _pictures(spark, sf_dir)
+    pictures = _pictures(spark, sf_dir, dealt=True)
     boxes = images.dark_candidates(pictures).select("page", "ord", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"), F.lit(1).alias("is_dark"))
     crops = images.cut_out(pictures, boxes)
     return crops.select("page", F.col("bubble").cast("int").alias("bubble"), "height", "width", F.octet_length("data").alias("bytes"), F.hex("data").alias("digits"))

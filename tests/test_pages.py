@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from inkwell import queries
 from inkwell.functions import exprs, tables
 from inkwell.operators import alignment, geometry, images, layout, terms
 from inkwell.plans import providers, translate
@@ -207,6 +208,26 @@ def test_row_profiles(spark):
     assert got[0] == 255.0 and abs(got[25] - (80 * 255 + 80 * 10) / 160) < 1e-9 and len(got) == 120
 
 
+def test_pictures_are_never_broadcast(spark, tmp_path):
+    # a file of few bytes a picture: Spark's estimate of the pictures is small, whatever they come to
+    spark.range(300).selectExpr("id AS p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    df = queries.cut_out_boxes(spark, str(tmp_path))
+    got = {r["page"]: (r["height"], r["width"], r["bytes"], r["digits"]) for r in df.collect()}
+    assert got == {k: (8 + k % 15, 10 + k % 18, (8 + k % 15) * (10 + k % 18) * 3, f"{k % 40:02X}" * ((8 + k % 15) * (10 + k % 18) * 3)) for k in range(300)}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not [line for line in exchanges if "data" in line]
+
+
+def test_cut_out_leaves_pages_without_boxes(spark):
+    p = picture()
+    pages = spark.createDataFrame([(k, 120, 160, bytearray(p.tobytes())) for k in range(3)], "page long, height int, width int, data binary")
+    boxes = spark.createDataFrame([(2, 1, 30.0, 20.0, 31.0, 22.0, 1), (2, 0, 0.0, 0.0, 1.0, 1.0, 0), (1, 0, 200.0, 0.0, 210.0, 5.0, 0)], "page long, ord int, x1 double, y1 double, x2 double, y2 double, is_dark int")
+    got = sorted((r["page"], r["bubble"], r["height"], r["width"], bytes(r["data"]), r["force_dark"]) for r in images.cut_out(pages, boxes).collect())
+    assert got == [(2, 0, 1, 1, b"\xff" * 3, False), (2, 1, 2, 1, b"\x0a" * 6, True)]
+
+
 def test_archives(spark):
     body = json.dumps([{"name": "x", "data": "aGk="}, {"data": "eW8="}])
     out = archives.zipped(archives.listed(spark.createDataFrame([(1, body)], "job long, images string"))).first()["archive"]
