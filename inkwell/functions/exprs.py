@@ -127,13 +127,17 @@ def picked_font(answer: Column) -> Column:
     An exact name wins; else the first font, in order, that equals, holds or is held by the answer
     without regard to case; else the default. Known prefixes are taken off one after another.
     """
-    text = strip(F.translate(strip(answer), "\"'", ""))
-    for prefix in tables.ANSWER_PREFIXES:
-        text = F.when(F.lower(text).startswith(prefix.lower()), strip(F.substring(text, len(prefix) + 1, 1 << 20))).otherwise(text)
     fonts = F.array(*[F.lit(f) for f in tables.FONTS])
-    low = F.lower(text)
-    loose = F.filter(fonts, lambda f: F.lower(f).contains(low) | low.contains(F.lower(f)))
-    return F.when(F.array_contains(fonts, text), text).otherwise(F.coalesce(F.get(loose, F.lit(0)), F.lit(tables.DEFAULT_FONT)))
+    pairs = F.array(*[F.struct(F.lit(f).alias("name"), F.lower(F.lit(f)).alias("low")) for f in tables.FONTS])
+    cut = lambda text, prefix: F.when(F.lower(text).startswith(F.lower(prefix)), strip(F.substr(text, F.length(prefix) + 1))).otherwise(text)
+
+    def meant(text: Column) -> Column:
+        low = F.lower(text)
+        loose = F.filter(pairs, lambda f: f["low"].contains(low) | low.contains(f["low"]))
+        return F.when(F.array_contains(fonts, text), text).otherwise(F.coalesce(F.get(loose, F.lit(0))["name"], F.lit(tables.DEFAULT_FONT)))
+
+    # a fold keeps the text; written out, each prefix names the text three times, which made 81 copies of it, worked out anew for each font
+    return F.aggregate(F.array(*[F.lit(p) for p in tables.ANSWER_PREFIXES]), strip(F.translate(strip(answer), "\"'", "")), cut, meant)
 
 
 def json_line(value: Column) -> Column:

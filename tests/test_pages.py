@@ -58,6 +58,23 @@ def test_picked_font(spark, answer, want):
     assert one(spark, exprs.picked_font(F.col("t")), t=answer) == want
 
 
+def meant(answer):
+    text = answer.strip().translate({34: None, 39: None}).strip()
+    for prefix in tables.ANSWER_PREFIXES:
+        if text.lower().startswith(prefix.lower()):
+            text = text[len(prefix) :].strip()
+    low = text.lower()
+    return text if text in tables.FONTS else next((f for f in tables.FONTS if low in f.lower() or f.lower() in low), tables.DEFAULT_FONT)
+
+
+def test_picked_fonts_keep_the_text_once(spark):
+    heads = ("", "Font: ", "FONT:", "best match: 'i recommend ", "The best matching font is Best match: Font: I recommend ", "I recommend Font: ", "\u3000\x1c\"Font:  ")
+    answers = [h + t + e for h in heads for t in (*tables.FONTS, *[f.upper() for f in tables.FONTS], "", " ", "é", "wingdings 7", "x" * 5000) for e in ("", ' "\n', " regular")]
+    df = spark.createDataFrame([*[(a,) for a in answers], (None,)], "t string").select("t", exprs.picked_font(F.col("t")).alias("font"))
+    assert {r["t"]: r["font"] for r in df.collect()} == {a: meant(a) for a in answers} | {None: tables.DEFAULT_FONT}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 3
+
+
 def test_wrap_equals_textwrap(spark):
     import random
     import textwrap
