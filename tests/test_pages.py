@@ -342,6 +342,17 @@ def test_regions_match_flood_fill():
         assert np.array_equal(images._filled(mask), ~outside[1:-1, 1:-1])
 
 
+def test_masks_grow_and_shrink_by_the_ellipse():
+    rng = np.random.default_rng(4)
+    around = [(y - 2, x - 2) for y in range(5) for x in range(5) if images.ELLIPSE[y][x]]
+    for _ in range(40):
+        mask = rng.random(tuple(rng.integers(1, 14, 2))) < rng.random()
+        height, width = mask.shape
+        for grow, meet in ((True, any), (False, all)):
+            want = [[meet(mask[y + a, x + b] for a, b in around if 0 <= y + a < height and 0 <= x + b < width) for x in range(width)] for y in range(height)]
+            assert np.array_equal(images._morph(mask, grow), np.array(want, bool))
+
+
 def test_colours_are_swapped():
     p = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
     assert images.swapped(p)[1, 2].tolist() == p[1, 2].tolist()[::-1] != p[1, 2].tolist()
